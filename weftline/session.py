@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -56,3 +58,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def null_safe_text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per Spark context.
+
+    A driver may have the package on its own path alone; workers then find it
+    in the archive that Spark hands out.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_weftline_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="weftline-")) / "weftline.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    sc.addPyFile(str(archive))
+    sc._weftline_shipped = True
