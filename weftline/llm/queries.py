@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import canonical, lookalike, nearcopies
+from weftline.llm import canonical, encode, language, lookalike, nearcopies
 from weftline.session import table
 
 
@@ -41,6 +41,20 @@ def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.to_one_form(table(spark, sf_dir, "records"))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.encode_texts(table(spark, sf_dir, "documents"))
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block and document with its language, confidence and whether it is ambiguous."""
+    documents, languages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "languages")
+    return language.segments(documents, language.fit(documents, languages))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.wrong_labels(p10_segments(spark, sf_dir), table(spark, sf_dir, "languages"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_unmatched": p2_unmatched,
@@ -48,5 +62,8 @@ QUERIES = {
     "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_forms": p5_forms,
+    "p8_ids": p8_ids,
+    "p10_found": p10_found,
+    "p10_segments": p10_segments,
 }
 ORACLE: dict[str, str] = {}
