@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import canonical, encode, language, lookalike, nearcopies
+from weftline.llm import canonical, encode, language, lookalike, mixing, nearcopies, products
 from weftline.session import table
 
 
@@ -41,10 +41,28 @@ def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.to_one_form(table(spark, sf_dir, "records"))
 
 
+def p6_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.same_products(table(spark, sf_dir, "records"), table(spark, sf_dir, "brands"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.product_pairs(p6_products(spark, sf_dir))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the number of times it is taken."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.shares(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every block and document with its language, confidence and whether it is ambiguous."""
     documents, languages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "languages")
@@ -62,7 +80,11 @@ QUERIES = {
     "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_forms": p5_forms,
+    "p6_found": p6_found,
+    "p6_products": p6_products,
     "p8_ids": p8_ids,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_segments": p10_segments,
 }
