@@ -50,8 +50,16 @@ def mixed_tokens(values: Column) -> Column:
 
 
 def qgrams(c: Column, q: int = 3) -> Column:
-    """Substrings of q characters in order; a shorter text is its own only one."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (q - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(q)))
+    """Substrings of q characters in order; a shorter text is its own only one.
+
+    The text is split once and its shifted lists are zipped, so the cost is
+    linear in the length.
+    """
+    chars = F.split(c, "")
+    out = chars
+    for k in range(2, q + 1):
+        out = F.zip_with(out, F.slice(chars, F.lit(k), F.greatest(F.length(c), F.lit(1))), lambda x, y: F.concat(x, y))
+    return F.when(F.length(c) < q, F.array(c)).otherwise(F.array_compact(out))
 
 
 def without_digits(c: Column) -> Column:

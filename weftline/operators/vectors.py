@@ -17,10 +17,12 @@ def contained(texts: DataFrame, vocab: DataFrame) -> DataFrame:
     if not lengths:
         return texts.select("id", F.lit(None).cast("long").alias("word_id")).filter("false")
     text = F.col("text")
-    cut = [
-        F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i, n=n: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        for n in sorted(lengths)
-    ]
+
+    def cut_to(n: int):
+        places = F.sequence(F.lit(1), F.length(text) - (n - 1))
+        return F.when(F.length(text) >= n, F.transform(places, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    cut = [cut_to(n) for n in sorted(lengths)]
     values = texts.select("text").filter("text is not null").distinct()
     hits = values.select("text", F.explode(F.array_distinct(F.flatten(F.array(*cut)))).alias("word")).join(vocab, "word").select("text", "word_id")
     return texts.join(hits, "text").select("id", "word_id").distinct()

@@ -370,7 +370,8 @@ def _sql() -> dict[str, str]:
         "feature_model_words": upto("fw") + "select rid, word from fw where word <> ''",
         "vocabulary": upto("voc") + "select word_id, word from voc",
         "attr_model_words": upto("mw") + "select rid, word, count(*) n from (select rid, unnest(words) word from mw) group by rid, word",
-        "qgrams": f"select gram, count(*) n from (select unnest({grams('text')}) gram from documents where text is not null and text <> '') group by gram",
+        "qgrams": """with c as (select string_split(text, '') c from documents where text is not null and text <> '')
+            select gram, count(*) n from (select unnest(case when len(c) < 3 then [array_to_string(c, '')] else list_transform(list_zip(c, c[2:], c[3:])[:len(c) - 2], lambda z: z[1] || z[2] || z[3]) end) gram from c) group by gram""",
         "digit_split": upto("voc") + "select word, regexp_replace(word, '[0-9]', '', 'g') letters, regexp_replace(word, '[^0-9]', '', 'g') digits from voc",
         "title_vectors": upto("tv") + "select rid, word_id from tv",
         "feature_vectors": upto("fv") + "select rid, word_id from fv",
