@@ -203,18 +203,6 @@ def metrics_by_rows(spark, sf_dir):
     return _rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
-def doc_near_duplicates(spark, sf_dir):
-    """Documents whose sets of five-word shingles are equal, by class: one row per document with its class and number of copies.
-
-    Texts of fewer than five words are one shingle; null and empty ones have none and are no case.
-    """
-    docs = table(spark, sf_dir, "documents").select("doc_id", S.tokens(F.lower("text")).alias("w")).filter(F.size("w") > 0)
-    grams = F.when(F.size("w") >= 5, F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, F.lit(5)), " "))).otherwise(F.array(F.array_join("w", " ")))
-    marked = docs.select("doc_id", F.md5(F.array_join(F.array_sort(F.array_distinct(grams)), "|")).alias("mark"))
-    classes = marked.groupBy("mark").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
-    return marked.join(classes, "mark").select("doc_id", "class_id", (F.col("n") - 1).alias("links"))
-
-
 QUERIES = {
     "clean_titles": lambda s, d: _clean(s, d).select("rid", "title"),
     "clean_features": clean_features,
@@ -260,7 +248,6 @@ QUERIES = {
     "cluster_pair_counts": cluster_pair_counts,
     "metrics_by_rows": metrics_by_rows,
     "top_similar": lambda s, d: pipeline.top_similar(pair_distance(s, d), 3).select("rid", "partner", "dist", "place"),
-    "doc_near_duplicates": doc_near_duplicates,
 }
 
 
@@ -416,10 +403,6 @@ def _sql() -> dict[str, str]:
         "top_similar": upto("dist")
         + """, b as (select rid_i rid, rid_j partner, dist from dist union all select rid_j, rid_i, dist from dist)
             select rid, partner, dist, place from (select *, row_number() over (partition by rid order by dist, partner) place from b) where place <= 3""",
-        "doc_near_duplicates": r"""with w as (select doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda z: z <> '') w from documents where text is not null),
-            g as (select doc_id, list_sort(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) else [array_to_string(w, ' ')] end)) g from w where len(w) > 0),
-            m as (select doc_id, md5(array_to_string(g, '|')) mark from g), c as (select mark, min(doc_id) class_id, count(*) n from m group by mark)
-            select doc_id, class_id, n - 1 links from m join c using (mark)""",
     }
 
 

@@ -30,10 +30,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    Survives the loss of executors, unlike a cache of one copy.
+    Survives the loss of executors, unlike a cache of one copy.  A checkpoint
+    runs its plan once to count and once to write; the rows are held in
+    between, so that the plan runs once.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist()
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
 
 
 def shuffle_width(spark: SparkSession) -> int:
