@@ -13,7 +13,7 @@ from weftline.config import DedupConfig
 from weftline.functions import similarity as sim
 from weftline.functions.strings import mixed_tokens, qgrams
 from weftline.operators.tokens import key_values
-from weftline.session import spread
+from weftline.session import durable, spread
 
 
 def paired(candidates: DataFrame, records: DataFrame) -> DataFrame:
@@ -58,6 +58,10 @@ def pair_distance(candidates: DataFrame, records: DataFrame, config: DedupConfig
 
     Distances may leave [0, 1], as matches can outnumber the smaller list; a
     pair without any attribute on one side has a null distance.
+
+    The distances are written to the shared checkpoint folder: a filter on
+    them would otherwise be pushed below the projection that computes them,
+    which repeats the whole score in every place where it is used.
     """
     if config.score_mode == "as_written":
         return candidates.select("rid_i", "rid_j", F.lit(0.0).alias("dist"))
@@ -75,7 +79,7 @@ def pair_distance(candidates: DataFrame, records: DataFrame, config: DedupConfig
     without = F.col("share") * F.col("avg") + (1 - F.col("share")) * F.col("rest")
     theta = (1 - mu) * F.col("share")
     blended = theta * F.col("avg") + (1 - mu - theta) * F.col("rest") + mu * F.col("t")
-    return parts.select("rid_i", "rid_j", (1 - F.when(F.col("t") == -1, without).otherwise(blended)).alias("dist"))
+    return durable(parts.select("rid_i", "rid_j", (1 - F.when(F.col("t") == -1, without).otherwise(blended)).alias("dist")))
 
 
 def normal_distances(distances: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def find_duplicates(records: DataFrame, brands: DataFrame, config: DedupConfig |
     brand = blocking.extract_brand(cleaned, brands).select("rid", F.col("brand").alias("block"))
     vecs = durable(vecs)
     pairs = durable(candidate_pairs(vecs, config, brand))
-    distances = durable(score.pair_distance(pairs, cleaned, config))
+    distances = score.pair_distance(pairs, cleaned, config)
     clusters = durable(cluster.complete_linkage(distances, config.epsilon, records.select("rid")))
     metrics = evaluate.pair_quality(pairs, records).join(evaluate.cluster_pairs(clusters, records))  # one row each
     return Result(pairs, distances, clusters, metrics)
