@@ -96,6 +96,18 @@ def allowed(form: str) -> int:
     return 2 if len(form) >= 6 else 1 if len(form) >= 4 else 0
 
 
+def ordinary_words(titles: DataFrame, share: float = 0.002, least: int = 20) -> frozenset[str]:
+    """Forms of the words that stand behind the second place in at least ``share`` of all titles.
+
+    Counted over all titles; at most (average words per title / share) words
+    come back.  Such a word at a title's head is no misspelt name.
+    """
+    words = titles.filter("title is not null").select(F.explode(F.slice(F.split(F.lower("title"), r"\s+"), F.lit(3), F.lit(1_000_000))).alias("w"))
+    total = titles.count()
+    rows = words.groupBy("w").count().filter(F.col("count") >= max(least, share * total)).select("w").collect()
+    return frozenset(name_form(r[0]) for r in rows)
+
+
 def heads(title: str | None, longest: int = 4) -> list[tuple[str, bool]]:
     """Forms of the title's first words, as one and as several words, each with whether it is cut short by a full stop.
 
@@ -120,18 +132,17 @@ def heads(title: str | None, longest: int = 4) -> list[tuple[str, bool]]:
     return out
 
 
-def best_entry(queries: list[tuple[str, bool]], tree: BKTree, forms: dict[str, int]) -> tuple[int, int, int] | None:
+def best_entry(queries: list[tuple[str, bool]], tree: BKTree, forms: dict[str, int], ordinary: frozenset[str] = frozenset()) -> tuple[int, int, int] | None:
     """(distance, entry, number of entries that near) of the best of a title's heads, or None.
 
     A head that a full stop cuts short stands for the one entry it begins, if
-    there is just one.  Else the nearest entry within the head's threshold
-    holds; ties go to the longer head, then to the smaller entry.  Heads whose
-    length differs from the entry's by more than the threshold can't be near,
-    which the tree finds by itself.
+    there is just one.  Else the nearest entry within the threshold of the
+    longer of the two names holds; ties go to the longer head, then to the
+    smaller entry.  An ordinary word must be the entry itself.
     """
     best = None
     for n, (form, cut) in enumerate(queries):
-        found = tree.within(form, allowed(form))
+        found = [x for x in tree.within(form, 0 if form in ordinary else 2) if x[0] <= max(allowed(form), allowed(x[1]))]
         if found and (best is None or (found[0][0], -n) < best[0]):
             d = found[0][0]
             best = ((d, -n), found[0][2], len({x[2] for x in found if x[0] == d}))
@@ -164,6 +175,7 @@ def map_titles(titles: DataFrame, reference: DataFrame, id_col: str = "brand_id"
     counts the entries equally near.  An empty reference list maps all to 0.
     """
     shards = reference_shards(reference, id_col, name_col)
+    ordinary = ordinary_words(titles)
 
     def search(entries: list[tuple[str, int]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +187,7 @@ def map_titles(titles: DataFrame, reference: DataFrame, id_col: str = "brand_id"
                     if key not in memo:
                         if len(memo) > 200_000:
                             memo.clear()
-                        memo[key] = best_entry(list(key), tree, forms)
+                        memo[key] = best_entry(list(key), tree, forms, ordinary)
                     for column, v in zip(out, (lambda m: (m[1], m[0], m[2]) if m else (0, None, 0))(memo[key]), strict=True):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names=["rid", "entry", "distance", "ties"])

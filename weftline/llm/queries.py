@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.llm import canonical, encode, language, lookalike, mixing, nearcopies, products
-from weftline.session import table
+from weftline.session import durable, table
 
 
 def p2_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every title row's brand with its distance and how many entries were as near."""
-    forms = lookalike.to_one_form(table(spark, sf_dir, "records").withColumn("features", F.lit(None).cast("map<string,string>")))
-    return canonical.map_titles(forms, table(spark, sf_dir, "brands"))
+    titles = table(spark, sf_dir, "records").withColumn("features", F.lit(None).cast("map<string,string>"))
+    return canonical.map_titles(durable(lookalike.to_one_form(titles).select("rid", "title")), table(spark, sf_dir, "brands"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
