@@ -57,11 +57,18 @@ def distance(a: str, b: str) -> int:
 
 
 class BKTree:
-    """Entries by distance to their parent; equal forms share a node."""
+    """Entries by distance to their parent; equal forms share a node.
+
+    A name longer than all entries by more than the threshold is near none,
+    so it is not searched; searches that come again are remembered.
+    """
 
     def __init__(self, entries: Iterable[tuple[str, int]]):
         self.root: list | None = None
+        self.longest = 0
+        self.known: dict[tuple[str, int], list[tuple[int, str, int]]] = {}
         for form, entry in entries:
+            self.longest = max(self.longest, len(form))
             self.add(form, entry)
 
     def add(self, form: str, entry: int) -> None:
@@ -81,6 +88,10 @@ class BKTree:
 
     def within(self, form: str, most: int) -> list[tuple[int, str, int]]:
         """All (distance, form, entry) with a distance of at most ``most``."""
+        if len(form) > self.longest + most:
+            return []
+        if (form, most) in self.known:
+            return self.known[form, most]
         found, stack = [], [self.root] if self.root else []
         while stack:
             node = stack.pop()
@@ -88,7 +99,10 @@ class BKTree:
             if d <= most:
                 found.extend((d, node[0], e) for e in node[1])
             stack.extend(child for at, child in node[2].items() if d - most <= at <= d + most)
-        return sorted(found)
+        if len(self.known) > 200_000:
+            self.known.clear()
+        self.known[form, most] = sorted(found)
+        return self.known[form, most]
 
 
 def allowed(form: str) -> int:
