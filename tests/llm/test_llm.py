@@ -92,6 +92,22 @@ def test_near_copies_lose_no_pair(spark, size):
     assert links == {r: sum(r in p for p in jaccard_pairs(sets, 0.75)) for r in sets if sets[r]}
 
 
+def test_near_copies_with_words_replaced(spark):
+    """Pairs whose words differ one for one, up to the threshold, in every chunk."""
+    assert all(nearcopies.most_apart(s, high - 1, high - 1) // m <= 1 for s in (0.5, 0.75, 0.9, 1.0) for _, high, m in nearcopies.bands(s))
+    rng = random.Random(11)
+    sets = {}
+    for i in range(0, 160, 2):
+        n = rng.randint(42, 100) if i % 4 else rng.randint(100, 200)
+        base = rng.sample(range(10_000), n)
+        sets[i] = {f"w{x}" for x in base}
+        sets[i + 1] = {f"w{x}" for x in base[n // 7 :]} | {f"n{i}x{k}" for k in range(n // 7)}
+    rows = [(i, " ".join(sorted(words)), None) for i, words in sets.items()]
+    classes, pairs = nearcopies.near_copies(spark.createDataFrame(rows, REC), 0.75)
+    want = jaccard_pairs(sets, 0.75)
+    assert len(want) == 80 and {tuple(r) for r in nearcopies.rid_pairs(classes, pairs).collect()} == want
+
+
 def test_near_copies_of_nothing(spark):
     classes, pairs = nearcopies.near_copies(spark.createDataFrame([], REC))
     assert nearcopies.rid_pairs(classes, pairs).count() == 0

@@ -4,10 +4,14 @@ A record's word set is hashed to chunks.  Each chunk's signature is the
 exclusive or of its words' 64-bit hashes, so equal words cancel and two records
 whose sets differ in d words differ in at most d places over all chunks.  By
 the pigeonhole principle one of m chunks differs in at most floor(d / m)
-places.  Every record therefore enters each chunk's signature, and probes with
-each signature that removing up to that many of its words from the chunk
-gives; of a pair within the threshold at least one chunk meets.  Similarity s
-allows d = (1-s)/(1+s) * (|A|+|B|) differing words, so no pair is lost.
+places.  Records fall into bands by size, and a band has floor(d / 2) + 1
+chunks, so that one chunk differs in at most one word, which one of the two
+records has more there.  Every record enters each chunk's signature, and probes
+with each signature that removing one of its words from the chunk gives; of a
+pair within the threshold at least one chunk meets.  (With two errors a chunk
+may hold one word for another, which removal on one side never undoes.)
+Similarity s allows d = (1-s)/(1+s) * (|A|+|B|) differing words, so no pair is
+lost, whatever the sizes.
 
 Exact copies are one class and enter the index once.
 """
@@ -26,10 +30,8 @@ from weftline.llm.lookalike import WORD, to_one_form
 from weftline.operators.cluster import both_ways, components
 from weftline.session import durable, spread
 
-#: Chunks of records of ordinary size.
-CHUNKS = 7
-#: Sizes from which on records use these chunks; smaller ones use the bands below it.
-ORDINARY = 32
+#: Most words a record can have.
+MOST = 2**31
 #: Words in at least this share of the classes are dealt to the chunks in turn; there are at most average set size / share of them.
 FREQUENT = 0.005
 
@@ -54,13 +56,13 @@ def word_sets(forms: DataFrame) -> DataFrame:
 
 
 def bands(similarity: float) -> list[tuple[int, int, int]]:
-    """(from size, to size, chunks) of the larger record of a pair; small records get fewer chunks, so that none lies empty."""
+    """(from size, to size, chunks) of the larger record of a pair, with so many chunks that one of them differs in at most one word."""
     out, low = [], 1
-    while low < ORDINARY:
-        high = min(ORDINARY, max(low + 1, math.ceil(low / similarity)))
+    while low < MOST:
+        high = max(low + 1, math.ceil(low / similarity), low + low // 16)
         out.append((low, high, most_apart(similarity, high - 1, high - 1) // 2 + 1))
         low = high
-    return [*out, (ORDINARY, 2**31, CHUNKS)]
+    return out
 
 
 def most_apart(similarity: float, a: int, b: int) -> int:
