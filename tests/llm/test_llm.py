@@ -108,6 +108,16 @@ def test_near_copies_with_words_replaced(spark):
     assert len(want) == 80 and {tuple(r) for r in nearcopies.rid_pairs(classes, pairs).collect()} == want
 
 
+def test_near_copies_of_long_records(spark):
+    """Keys grow with the words, so that records of thousands of them are found like others."""
+    long = [f"w{i}" for i in range(6000)]
+    rows = [(1, " ".join(long), None), (2, " ".join(long[:5200] + [f"x{i}" for i in range(800)]), None), (3, " ".join(long[:4400]), None), (4, None, {"a": " ".join(long[:4600])}), (5, "w1 w2 w3", None)]
+    classes, pairs = nearcopies.near_copies(spark.createDataFrame(rows, REC), 0.75)
+    sets = {r: set((t or f["a"]).split()) for r, t, f in rows}
+    want = jaccard_pairs(sets, 0.75)
+    assert {(1, 2), (1, 4), (3, 4)} <= want and {tuple(r) for r in nearcopies.rid_pairs(classes, pairs).collect()} == want
+
+
 def test_near_copies_of_nothing(spark):
     classes, pairs = nearcopies.near_copies(spark.createDataFrame([], REC))
     assert nearcopies.rid_pairs(classes, pairs).count() == 0

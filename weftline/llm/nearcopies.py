@@ -19,7 +19,9 @@ Exact copies are one class and enter the index once.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ from weftline.session import durable, spread
 
 #: Most words a record can have.
 MOST = 2**31
+#: Keys after which a batch of them is handed on.
+HELD = 50_000
 #: Words in at least this share of the classes are dealt to the chunks in turn; there are at most average set size / share of them.
 FREQUENT = 0.005
 
@@ -70,20 +74,18 @@ def most_apart(similarity: float, a: int, b: int) -> int:
     return math.floor((1 - similarity) / (1 + similarity) * (a + b) + 1e-9)
 
 
-def _keys(words: np.ndarray, chunk: np.ndarray, band: int, m: int, errors: int) -> list[np.ndarray]:
-    """Per number of removed words, the keys of all chunks."""
-    out: list[list[np.ndarray]] = [[] for _ in range(errors + 1)]
-    for c in range(m):
-        h = words[chunk == c]
-        tag = np.uint64(xxhash.xxh64_intdigest(b"%d:%d:%d" % (band, m, c)))
-        level = [(np.bitwise_xor.reduce(h) if len(h) else np.uint64(0)) ^ tag]
-        out[0].append(np.array(level, dtype=np.uint64))
-        # sets of removed words in growing order of the last one removed
-        reached = [(level[0], -1)]
-        for e in range(1, errors + 1):
-            reached = [(s ^ h[i], i) for s, last in reached for i in range(last + 1, len(h))]
-            out[e].append(np.array([s for s, _ in reached], dtype=np.uint64))
-    return [np.concatenate(level) for level in out]
+@lru_cache(maxsize=256)
+def _tags(band: int, m: int) -> np.ndarray:
+    """One hash per chunk of a band."""
+    return np.array([xxhash.xxh64_intdigest(b"%d:%d:%d" % (band, m, c)) for c in range(m)], dtype=np.uint64)
+
+
+def _keys(words: np.ndarray, place: np.ndarray, band: int, m: int, probe: bool) -> list[np.ndarray]:
+    """The keys of all chunks, and with ``probe`` those with one word removed; as many as chunks and words."""
+    chunk = place % m
+    whole = _tags(band, m).copy()
+    np.bitwise_xor.at(whole, chunk, words)
+    return [whole, whole[chunk] ^ words] if probe else [whole]
 
 
 def index_keys(classes: DataFrame, similarity: float, frequent: dict[int, int], probe: bool) -> DataFrame:
@@ -92,10 +94,12 @@ def index_keys(classes: DataFrame, similarity: float, frequent: dict[int, int],
     With ``probe`` the signatures with words removed come too.
     """
     levels, share = bands(similarity), (1 - similarity) / (1 + similarity)
+    ends = [high for _, high, _ in levels]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: tuple[list, list, list, list, list] = ([], [], [], [], [])
+            held = 0
 
             def flush():
                 arrays = [np.concatenate(c) if c else np.array([], dtype=k) for c, k in zip(cols, (np.uint64, np.int64, np.int32, np.int32, np.int64), strict=True)]
@@ -106,21 +110,24 @@ def index_keys(classes: DataFrame, similarity: float, frequent: dict[int, int],
                     names=["key", "rep", "n", "removed", "mark"],
                 )
 
-            for row, (rep, words) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            for rep, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n = len(words)
                 signed = np.array(words, dtype=np.int64)
                 h = signed.view(np.uint64)
                 place = np.array([frequent.get(w, w & 0x7FFFFFFF) for w in words], dtype=np.int64)
                 bits = np.bitwise_xor.reduce(np.left_shift(np.uint64(1), (h >> np.uint64(20)) & np.uint64(63))) if n else np.uint64(0)
-                for band, (low, high, m) in enumerate(levels):
-                    if not math.ceil(similarity * low - 1e-9) <= n < high:
-                        continue
+                for band in range(bisect_right(ends, n), len(levels)):
+                    low, high, m = levels[band]
+                    if math.ceil(similarity * low - 1e-9) > n:
+                        break
                     apart = math.floor(share * min(2 * (high - 1), n * (1 + 1 / similarity)) + 1e-9)
-                    for removed, keys in enumerate(_keys(h, place % m, band, m, apart // m if probe else 0)):
+                    for removed, keys in enumerate(_keys(h, place, band, m, probe and apart >= m)):
+                        held += len(keys)
                         for column, v in zip(cols, (keys, *(np.full(len(keys), x, dtype=k) for x, k in ((rep, np.int64), (n, np.int32), (removed, np.int32), (bits.view(np.int64), np.int64)))), strict=True):
                             column.append(v)
-                if row % 500 == 499:
+                if held >= HELD:
                     yield flush()
+                    held = 0
             yield flush()
 
     return classes.mapInArrow(run, "key long, rep long, n int, removed int, mark long")
