@@ -198,6 +198,30 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(docs.limit(0), targets).count() == 0
 
 
+def test_mixing_takes_unlabelled_by_posterior(spark):
+    """A third of the labels is missing; these tokens count by their posterior."""
+    text = {"a": "alpha beta gamma ", "b": "zwei drei vier "}
+    rows = [(i, None if i % 3 == 0 else "ab"[i % 2], text["ab"[i % 2]] * (3 + i % 20)) for i in range(1800)]
+    rows += [(5000 + i, "other", text["a"] * 5) for i in range(50)] + [(6000, None, None), (6001, " ", ""), (6002, " ", text["b"] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.7, 2)], "source string, target_share double, max_repeats int")
+    mix = mixing.mix(docs, targets, unlabelled=True)
+    got = mix.collect()
+    assert len(got) == len(rows) and all(r.copies <= (1 if r.likely == "a" else 2) for r in got)
+    assert {r.copies for r in got if r.source == "other"} == {0} and sum(r.copies for r in got if r.source is None) > 0
+    out = {r.source: r for r in mixing.shares(mix, targets).collect()}
+    assert abs(out["a"].actual_share - 0.3) < 0.01 and abs(out["b"].actual_share - 0.7) < 0.01
+    assert out["a"].labelled_share < 0.3 and out["b"].soft_tokens > 0
+    assert sum(r.n_tokens * r.copies for r in got) > sum(r.n_tokens * r.copies for r in mixing.mix(docs, targets).collect())
+
+
+def test_registered_mixture_uses_posteriors(spark):
+    from weftline.llm.queries import QUERIES
+
+    got = QUERIES["p9_mixture"](spark, SMALL).filter("membership is not null").collect()
+    assert got and all(r.rate > 0 for r in got if r.n_tokens)
+
+
 def test_projected_gradient_with_soft_groups():
     tokens = np.array([[100.0, 0.0], [0.0, 50.0], [30.0, 10.0]])
     rate = mixing.projected_gradient(tokens, np.array([1.0, 2.0, 1.0]), np.array([90.0, 80.0]))

@@ -53,9 +53,10 @@ def fit_sources(documents: DataFrame, sources: list[str], sample: int = SAMPLE)
 def measure(documents: DataFrame, sources: list[str], model: Model | None, folder: str = encode.FOLDER, name: str = encode.TOKENIZER) -> DataFrame:
     """``doc_id, source, n_tokens, likely, posterior`` of every document.
 
-    ``posterior`` has one entry per source; it is null for documents of a
-    source in the list, which belong to it wholly.  ``likely`` is the named or
-    the most likely source.  Null and empty texts have no tokens.
+    ``posterior`` has one entry per source; it is null for documents that name
+    a source, which belong to it wholly.  ``likely`` is the named or the most
+    likely source, null for a name that isn't in the list.  Null and empty
+    texts have no tokens.
     """
     known = set(sources)
 
@@ -70,7 +71,7 @@ def measure(documents: DataFrame, sources: list[str], model: Model | None, folde
             unsure = [i for i, s in enumerate(named) if s not in known]
             for i in unsure:
                 likely[i] = None
-                if model is not None and offsets[i + 1] > offsets[i]:
+                if model is not None and not (named[i] or "").strip() and offsets[i + 1] > offsets[i]:
                     loss = model.losses(data, offsets[i : i + 1], offsets[i + 1 : i + 2])[0]
                     p = np.exp(-(loss - loss.min()) / (1 + np.sqrt(offsets[i + 1] - offsets[i])))
                     posterior[i] = (p / p.sum()).tolist()
@@ -151,80 +152,91 @@ def thresholds(rows: DataFrame, extra: dict[str, float]) -> dict[str, tuple[int,
     return {s: tuple(at) for s, at in place.items()}
 
 
+def largest(tokens: np.ndarray, caps: np.ndarray, share: np.ndarray, close: float = 1e-4) -> float:
+    """Largest size at which the fit gives every source its share, by halving below the size that the scarcest source allows."""
+    top = min((float(x) for x in caps @ tokens / share), default=0.0)
+    miss = lambda size: np.abs(projected_gradient(tokens, caps, share * size) @ tokens / (share * size) - 1).max(initial=0)
+    if top <= 0 or miss(top) <= close:
+        return top
+    low, high = 0.0, top
+    for _ in range(14):
+        middle = (low + high) / 2
+        low, high = (middle, high) if miss(middle) <= close else (low, middle)
+    return low or top
+
+
 def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, unlabelled: bool = False) -> DataFrame:
-    """``doc_id, source, n_tokens, copies, rate, likely``: how often each document is taken.
+    """``doc_id, source, n_tokens, copies, rate, likely, membership``: how often each document is taken.
 
     Every document comes out, also those taken no time.  ``copies`` is at most
     the source's ``max_repeats``.  ``total`` is the mixture's size in tokens;
     by default the largest at which every source with tokens can reach its
-    share.  Documents of no source in ``targets`` are measured and take part
-    in the fit only with ``unlabelled``, then by their posterior; by default
-    their rate is 0, since they are of none of the sources to be mixed.
+    share.  Documents that name no source take part only with ``unlabelled``,
+    by their posterior, which ``membership`` gives per source, and with the
+    ``max_repeats`` of their most likely source.  Documents that name a source
+    not in ``targets`` are of none of those to be mixed; their rate is 0.
     Sources without tokens can't contribute; the others keep their
     proportions.  An empty table gives an empty mixture.
     """
     aims = target_list(targets)
     sources = [s for s, _, _ in aims]
-    caps = {s: float(c) for s, _, c in aims}
+    caps = {s: c for s, _, c in aims}
     model = fit_sources(documents, sources) if sources else None
-    rows = durable(measure(documents, sources, model))
-    there = F.col("source").isin(sources)
-    n = {r[0]: float(r[1]) for r in rows.filter(there).groupBy("source").agg(F.sum("n_tokens")).collect()}
-    groups = [(s, False) for s in sources if n.get(s)]
-    matrix = [[n[s] if s == k else 0.0 for k, _, _ in aims] for s, _ in groups]
+    # groups of like documents: of a named source, or of a most likely one
+    group = F.when(F.col("source").isin(sources), F.concat(F.lit("="), "source"))
     if unlabelled:
-        soft = rows.filter(F.col("posterior").isNotNull()).groupBy("likely").agg(*(F.sum(F.col("posterior")[i] * F.col("n_tokens")).alias(f"s{i}") for i in range(len(sources)))).collect()
-        for r in soft:
-            groups.append((r["likely"], True))
-            matrix.append([float(r[f"s{i}"]) for i in range(len(sources))])
-    rate: dict[tuple[str, bool], float] = {}
-    if groups:
-        tokens, limit = np.array(matrix), np.array([caps[s] for s, _ in groups])
-        share = np.array([a[1] for a in aims])
-        live = tokens.sum(axis=0) > 0
-        share = np.where(live, share, 0) / share[live].sum()
-        own = np.array([n.get(s, 0.0) * caps[s] for s in sources])
-        reach = [own[i] / share[i] for i in range(len(sources)) if share[i] > 0 and own[i] > 0]
-        size = total if total is not None else min(reach, default=0.0)
-        keep = share > 0
-        fitted = projected_gradient(tokens[:, keep], limit, share[keep] * size)
-        rate = {g: float(x) for g, x in zip(groups, fitted, strict=True)}
-    whole = {s: min(int(rate.get((s, False), 0.0) + 1e-9), int(caps[s])) for s in sources}
-    extra = {s: max(0.0, rate.get((s, False), 0.0) - whole[s]) * n.get(s, 0.0) for s in sources if whole[s] < caps[s]}
-    extra = {s: x for s, x in extra.items() if x > 0.5}
-    at = thresholds(rows.filter(there), extra) if extra else {}
+        group = group.when(F.col("posterior").isNotNull(), F.concat(F.lit("?"), "likely"))
+    rows = durable(measure(documents, sources, model).withColumn("group", group))
+    parts = [F.sum(F.when(F.col("posterior").isNotNull(), F.col("posterior")[i]).otherwise((F.col("source") == s).cast("double")) * F.col("n_tokens")).alias(f"s{i}") for i, s in enumerate(sources)]
+    sums = rows.filter("group is not null").groupBy("group").agg(F.sum("n_tokens").alias("n"), *parts).filter("n > 0").orderBy("group").collect()  # at most two rows a source
+    n = {r["group"]: float(r["n"]) for r in sums}
+    rate: dict[str, float] = {}
+    if sums:
+        tokens, limit = np.array([[r[f"s{i}"] for i in range(len(sources))] for r in sums]), np.array([float(caps[g[1:]]) for g in n])
+        keep = np.array([f"={s}" in n or f"?{s}" in n for s in sources])
+        share = np.array([a[1] for a in aims])[keep]
+        share /= share.sum()
+        fitted = projected_gradient(tokens[:, keep], limit, share * (total if total is not None else largest(tokens[:, keep], limit, share)))
+        rate = {g: float(x) for g, x in zip(n, fitted, strict=True)}
+    whole = {g: min(int(r + 1e-9), caps[g[1:]]) for g, r in rate.items()}
+    extra = {g: max(0.0, rate[g] - whole[g]) * n[g] for g in rate if whole[g] < caps[g[1:]]}
+    extra = {g: x for g, x in extra.items() if x > 0.5}
+    at = thresholds(rows.select("doc_id", F.col("group").alias("source"), "n_tokens").filter("source is not null"), extra) if extra else {}
     copies, shown = F.lit(0), F.lit(0.0)
     here = F.struct(*(_bucket(i).alias(f"b{i}") for i in range(3)))
-    for s in sources:
-        more = F.when(here < F.struct(*(F.lit(b).alias(f"b{i}") for i, b in enumerate(at[s]))), 1).otherwise(0) if s in at else F.lit(0)
-        copies = F.when(F.col("source") == s, F.lit(whole[s]) + more).otherwise(copies)
-        shown = F.when(F.col("source") == s, F.lit(rate.get((s, False), 0.0))).otherwise(shown)
-    for (s, soft), r in rate.items():
-        if soft:
-            is_it = ~F.coalesce(there, F.lit(False)) & (F.col("likely") == s)
-            draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * (r - int(r)))
-            copies = F.when(is_it, F.lit(int(r)) + draw.cast("int")).otherwise(copies)
-            shown = F.when(is_it, F.lit(r)).otherwise(shown)
-    return rows.select("doc_id", "source", "n_tokens", copies.cast("int").alias("copies"), shown.alias("rate"), "likely")
+    for g, r in rate.items():
+        more = F.when(here < F.struct(*(F.lit(b).alias(f"b{i}") for i, b in enumerate(at[g]))), 1).otherwise(0) if g in at else F.lit(0)
+        copies = F.when(F.col("group") == g, F.lit(whole[g]) + more).otherwise(copies)
+        shown = F.when(F.col("group") == g, F.lit(r)).otherwise(shown)
+    names = F.array(*(F.lit(s) for s in sources)).cast("array<string>")
+    return rows.select("doc_id", "source", "n_tokens", copies.cast("int").alias("copies"), shown.alias("rate"), "likely", F.map_from_arrays(names, "posterior").alias("membership"))
 
 
 def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
-    """``source, target_share, documents, tokens, actual_share, most_copies`` of every source in ``targets``, also those without documents."""
-    per = mixture.groupBy("source").agg(
-        F.sum(F.when(F.col("copies") > 0, 1).otherwise(0)).alias("documents"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies")
-    )
+    """``source, target_share, documents, tokens, actual_share, most_copies, soft_tokens, labelled_share`` of every source in ``targets``, also those without documents.
+
+    ``documents``, ``tokens`` and ``most_copies`` are of the documents that
+    name the source; ``soft_tokens`` are those of documents without a source,
+    by their membership.  ``actual_share`` counts both, ``labelled_share`` only
+    the former, each of all tokens taken.
+    """
+    taken = F.col("n_tokens") * F.col("copies")
+    per = mixture.groupBy("source").agg(F.sum(F.when(F.col("copies") > 0, 1).otherwise(0)).alias("documents"), F.sum(taken).alias("tokens"), F.max("copies").alias("most_copies"))
     per = durable(per)
+    soft = mixture.filter("copies > 0 and membership is not null").select(taken.alias("n"), F.explode("membership").alias("source", "p")).groupBy("source").agg(F.sum(F.col("n") * F.col("p")).alias("soft"))
     whole = per.agg(F.sum("tokens").alias("whole"))
     total = (whole.first() or [0])[0] or 0
-    filled = targets.select("source", "target_share").join(per, "source", "left")
-    tokens = F.coalesce("tokens", F.lit(0))
+    filled = targets.select("source", "target_share").join(per, "source", "left").join(soft, "source", "left")
+    tokens, credited = F.coalesce("tokens", F.lit(0)), F.coalesce("soft", F.lit(0.0))
     return filled.select(
         "source",
         "target_share",
         F.coalesce("documents", F.lit(0)).alias("documents"),
         tokens.alias("tokens"),
-        (tokens / F.lit(total) if total else F.lit(0.0)).alias("actual_share"),
+        ((tokens + credited) / F.lit(total) if total else F.lit(0.0)).alias("actual_share"),
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
+        credited.alias("soft_tokens"),
+        (tokens / F.lit(total) if total else F.lit(0.0)).alias("labelled_share"),
     )
 
 

@@ -54,8 +54,8 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the number of times it is taken."""
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    """Every document with the number of times it is taken, those without a source by their posterior."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), unlabelled=True)
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
