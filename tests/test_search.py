@@ -186,3 +186,21 @@ def test_sql_parity(spark, name):
     cols = sorted(df.columns)
     assert sorted(sql.columns) == cols
     assert sorted(map(repr, (tuple(r[c] for c in cols) for r in df.collect()))) == sorted(map(repr, sql.select(*(f'"{c}"' for c in cols)).fetchall()))
+
+
+def test_registered_search_has_all_hashes(spark):
+    """Signatures and candidates of the registered queries against brute force with the operator's own settings."""
+    c = DedupConfig()
+    vecs = {r.rid: r.word_ids for r in reference._vectors(spark, SMALL).collect()}
+    want = {rid: [max(w, key=lambda x, a=a, b=b: (a + b * x) % c.prime) for a, b in c.coefficients()] if w else [c.empty_value] * c.n for rid, w in vecs.items()}
+    got = {r.rid: [int(x) for x in r.sig.split("-")] for r in reference.QUERIES["minhash_signatures"](spark, SMALL).collect()}
+    assert got == want and {len(s) for s in got.values()} == {1050}
+    cut = {rid: {(k, tuple(s[k : k + c.rows])) for k in range(0, c.n, c.rows)} for rid, s in want.items()}
+    near = {(i, j) for i in cut for j in cut if i < j and cut[i] & cut[j]}
+    assert {tuple(r) for r in reference.QUERIES["lsh_candidates"](spark, SMALL).collect()} == near
+    records = {r.rid: r.entity_id for r in reference._records(spark, SMALL).collect()}
+    for r in reference.QUERIES["metrics_by_rows_full"](spark, SMALL).collect():
+        width = c.n // (c.n // r.r)
+        cut = {rid: {(k, tuple(s[k * width : (k + 1) * width])) for k in range(c.n // r.r)} for rid, s in want.items()}
+        near = [(i, j) for i, j in itertools.combinations(sorted(cut), 2) if cut[i] & cut[j]]
+        assert (r.comparisons, r.dups_found) == (len(near), sum(records[i] == records[j] for i, j in near))

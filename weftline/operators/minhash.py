@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.config import DedupConfig
@@ -21,18 +25,29 @@ def affine_hashes(vocab: DataFrame, config: DedupConfig) -> DataFrame:
 def signatures(vectors: DataFrame, config: DedupConfig) -> DataFrame:
     """``rid, sig``: per permutation the word that comes last (or first); ``empty_value`` throughout for no word.
 
-    Row-local: one expression over the coefficients, no exchange.
+    Row-local, no exchange.  All permutations of a row are placed at once in
+    64-bit arithmetic; as an expression they would be worked out again for
+    every band that reads them.
     """
     rows = vectors.filter(F.size("word_ids") > 0) if config.drop_empty else vectors
-    coefficients = F.array(*(F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in config.coefficients()))
-    pick = F.array_max if config.order == "last" else F.array_min
-
-    def word(c: Column) -> Column:
-        placed = F.transform("word_ids", lambda w: F.struct(F.pmod(c["a"] + c["b"] * w.cast("long"), F.lit(config.prime)).alias("h"), w.cast("long").alias("w")))
-        return pick(placed)["w"]
-
-    sig = F.when(F.size("word_ids") > 0, F.transform(coefficients, word)).otherwise(F.array_repeat(F.lit(config.empty_value).cast("long"), config.n))
-    return rows.select("rid", sig.alias("sig"))
+    coefficients = np.array(config.coefficients(), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = coefficients[:, :1], coefficients[:, 1:]
+        pick = np.argmax if config.order == "last" else np.argmin
+        nothing = np.full(config.n, config.empty_value, dtype=np.int64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                sigs = []
+                for words in part.column(1).to_pylist():
+                    w = np.array(words or [], dtype=np.int64)
+                    sigs.append(w[pick((a + b * w) % config.prime, axis=1)] if len(w) else nothing)
+                ends = pa.array(np.arange(len(sigs) + 1) * config.n, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sigs), pa.int64()))], names=["rid", "sig"])
+
+    rid = vectors.schema["rid"].dataType.simpleString()
+    return rows.select("rid", F.col("word_ids").cast("array<long>")).mapInArrow(run, f"rid {rid}, sig array<long>")
 
 
 def bands(sigs: DataFrame, config: DedupConfig) -> DataFrame:

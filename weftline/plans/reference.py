@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from weftline.config import DedupConfig
@@ -11,8 +14,10 @@ from weftline.plans import pipeline
 from weftline.session import durable, table
 from weftline.sources.records import from_parts, sample_rows
 
-#: A short signature keeps the SQL side affordable; parts hold few different words.
-CONFIG = DedupConfig(n=16, rows=2)
+#: The operator's own settings, with all hashes; the SQL follows them.
+CONFIG = DedupConfig()
+#: Of metrics_by_rows alone, whose SQL holds only where every number of rows divides n; metrics_by_rows_full has all hashes.
+SHORT = DedupConfig(n=16, rows=2)
 #: Features of the parts records that give words to the vocabulary.
 WHOLE, FIRST = ("Size", "Weight"), ("Type",)
 
@@ -194,13 +199,20 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def metrics_by_rows(spark, sf_dir):
+def _by_rows(spark: SparkSession, sf_dir: str, config: DedupConfig, rows: tuple[int, ...]) -> DataFrame:
     vecs = durable(_vectors(spark, sf_dir))
     records = _records(spark, sf_dir)
-    from dataclasses import replace
+    parts = [evaluate.pair_quality(pipeline.candidate_pairs(vecs, replace(config, rows=r)), records).select(F.lit(r).alias("r"), "*") for r in rows]
+    return _rounded(reduce(DataFrame.unionByName, parts))
+
+
+def metrics_by_rows(spark, sf_dir):
+    return _by_rows(spark, sf_dir, SHORT, (2, 4, 8))
+
 
-    parts = [evaluate.pair_quality(pipeline.candidate_pairs(vecs, replace(CONFIG, rows=r)), records).select(F.lit(r).alias("r"), "*") for r in (2, 4, 8)]
-    return _rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+def metrics_by_rows_full(spark, sf_dir):
+    """All hashes and all numbers of rows per band from 1 to 10; without SQL."""
+    return _by_rows(spark, sf_dir, CONFIG, tuple(range(1, 11)))
 
 
 QUERIES = {
@@ -247,6 +259,7 @@ QUERIES = {
     "cluster_members": cluster_members,
     "cluster_pair_counts": cluster_pair_counts,
     "metrics_by_rows": metrics_by_rows,
+    "metrics_by_rows_full": metrics_by_rows_full,
     "top_similar": lambda s, d: pipeline.top_similar(pair_distance(s, d), 3).select("rid", "partner", "dist", "place"),
 }
 
@@ -257,10 +270,10 @@ def _fold(expr: str, pairs) -> str:
     return expr
 
 
-def _sql() -> dict[str, str]:
+def _sql(config: DedupConfig) -> dict[str, str]:
     """DuckDB SQL of the queries, put together from named steps."""
-    coefficients = ", ".join(f"({i}, {a}::bigint, {b}::bigint)" for i, (a, b) in enumerate(CONFIG.coefficients()))
-    p, r, nb = CONFIG.prime, CONFIG.band_rows, CONFIG.bands
+    coefficients = ", ".join(f"({i}, {a}::bigint, {b}::bigint)" for i, (a, b) in enumerate(config.coefficients()))
+    p, r, nb = config.prime, config.band_rows, config.bands
     grams = lambda c: f"(case when length({c}) < 3 then [{c}] else list_transform(range(1, length({c}) - 1), lambda gi: substring({c}, gi, 3)) end)"
     gsim = lambda a, b: (
         f"((len({a}) + len({b}) - len(list_filter({a}, lambda gx: not list_contains({b}, gx))) - len(list_filter({b}, lambda gy: not list_contains({a}, gy))))::double / (len({a}) + len({b})))"
@@ -281,8 +294,8 @@ def _sql() -> dict[str, str]:
         "hits": "select rid, word_id from tv union select rid, word_id from fv",
         "coef": f"select * from (values {coefficients}) t(hash_no, a, b)",
         "sig1": f"select rid, hash_no, arg_max(word_id, (a + b * word_id) % {p}) w from hits, coef group by rid, hash_no",
-        "sig": f"select ct.rid, hash_no, coalesce(w, {CONFIG.empty_value}) w from ct cross join coef left join sig1 using (rid, hash_no)",
-        "bk": f"select rid, hash_no // {r} band, string_agg(w::varchar, '{CONFIG.delimiter}' order by hash_no) bucket from sig where hash_no < {r * nb} group by rid, hash_no // {r}",
+        "sig": f"select ct.rid, hash_no, coalesce(w, {config.empty_value}) w from ct cross join coef left join sig1 using (rid, hash_no)",
+        "bk": f"select rid, hash_no // {r} band, string_agg(w::varchar, '{config.delimiter}' order by hash_no) bucket from sig where hash_no < {r * nb} group by rid, hash_no // {r}",
         "cand": "select distinct x.rid rid_i, y.rid rid_j from bk x join bk y on x.band = y.band and x.bucket = y.bucket and x.rid < y.rid",
         "lex": "select row_number() over (order by brand) brand_pos, brand from (select distinct lower(p_brand) brand from part where p_brand is not null)",
         "br": "select ct.rid, coalesce(max_by(brand, brand_pos), '') brand from ct left join lex on contains(title, brand) group by ct.rid",
@@ -293,7 +306,7 @@ def _sql() -> dict[str, str]:
         "pr": """select rid_i, rid_j, a.title title_i, b.title title_j, coalesce(x.words, []) words_i, coalesce(y.words, []) words_j
             from blk join ct a on a.rid = rid_i join ct b on b.rid = rid_j left join mw x on x.rid = rid_i left join mw y on y.rid = rid_j""",
         "km": f"""select rid_i, rid_j, q_pos, r_pos, w, v from (select rid_i, rid_j, q.pos q_pos, s.pos r_pos, {gsim('q.kg', 's.kg')} w, {gsim('q.vg', 's.vg')} v
-            from blk join gkv q on q.rid = rid_i join gkv s on s.rid = rid_j) where w > {CONFIG.gamma} qualify row_number() over (partition by rid_i, rid_j, r_pos order by q_pos) = 1""",
+            from blk join gkv q on q.rid = rid_i join gkv s on s.rid = rid_j) where w > {config.gamma} qualify row_number() over (partition by rid_i, rid_j, r_pos order by q_pos) = 1""",
         "kmi": "select rid_i, rid_j, pos, value from blk join kv on kv.rid = rid_i where not exists (from km where km.rid_i = blk.rid_i and km.rid_j = blk.rid_j and km.q_pos = kv.pos)",
         "kmj": "select rid_i, rid_j, pos, value from blk join kv on kv.rid = rid_j where not exists (from km where km.rid_i = blk.rid_i and km.rid_j = blk.rid_j and km.r_pos = kv.pos)",
         "avgs": "select rid_i, rid_j, count(km.w) m, coalesce(sum(km.w * v) / sum(km.w), 0.0) avg_sim from blk left join km using (rid_i, rid_j) group by rid_i, rid_j",
@@ -314,10 +327,10 @@ def _sql() -> dict[str, str]:
         "mlv": f"""select pr.rid_i, pr.rid_j, coalesce(g / nullif(t, 0), 0.0) similarity, coalesce(close and differ, false) clash from pr left join (select rid_i, rid_j,
             sum(case when {nld('ax', 'ay')} < 0.5 and dx = dy then (1 - {nld('x', 'y')}) * (length(x) + length(y)) end) g, sum(case when {nld('ax', 'ay')} < 0.5 and dx = dy then length(x) + length(y) end) t,
             bool_or({nld('ax', 'ay')} < 0.5) as close, count(distinct dx) > 1 or count(distinct dy) > 1 or bool_or(dx <> dy) differ from wp group by all) using (rid_i, rid_j)""",
-        "tms": f"""select rid_i, rid_j, case when cosine > {CONFIG.alpha} then 1.0 when clash then -1.0 when similarity > 0 then {CONFIG.delta} * similarity + {1 - CONFIG.delta} * s else s end similarity
-            from (select *, {CONFIG.beta} * cosine + {1 - CONFIG.beta} * (1 - {nld('title_i', 'title_j')}) s from pr join cosn using (rid_i, rid_j) join mlv using (rid_i, rid_j))""",
+        "tms": f"""select rid_i, rid_j, case when cosine > {config.alpha} then 1.0 when clash then -1.0 when similarity > 0 then {config.delta} * similarity + {1 - config.delta} * s else s end similarity
+            from (select *, {config.beta} * cosine + {1 - config.beta} * (1 - {nld('title_i', 'title_j')}) s from pr join cosn using (rid_i, rid_j) join mlv using (rid_i, rid_j))""",
         "dist": f"""select rid_i, rid_j, round(1 - case when t = -1 then share * avg_sim + (1 - share) * overlap
-            else {1 - CONFIG.mu} * share * avg_sim + ({1 - CONFIG.mu} - {1 - CONFIG.mu} * share) * overlap + {CONFIG.mu} * t end, 6) dist
+            else {1 - config.mu} * share * avg_sim + ({1 - config.mu} - {1 - config.mu} * share) * overlap + {config.mu} * t end, 6) dist
             from (select rid_i, rid_j, m::double / 5 share, avg_sim, overlap, tms.similarity t from avgs join rest using (rid_i, rid_j) join tms using (rid_i, rid_j))""",
         "pq0": "select count(*) comparisons, count(*) filter (where x.entity_id = y.entity_id) dups_found from cand join rec x on x.rid = rid_i join rec y on y.rid = rid_j",
         "tf": "select sum(c)::bigint records, sum(c * (c - 1) // 2)::bigint dups_to_find from (select count(*) c from rec group by entity_id)",
@@ -397,7 +410,7 @@ def _sql() -> dict[str, str]:
         "pair_distance": upto("dist") + "select rid_i, rid_j, dist from dist",
         "normal_distances": upto("dist") + "select count(*) pairs from dist where dist > 0 and dist < 1",
         "components": upto("dist").replace("with ", "with recursive ", 1)
-        + f""", e as (select rid_i u, rid_j v from dist where dist < {CONFIG.epsilon} union select rid_j, rid_i from dist where dist < {CONFIG.epsilon}),
+        + f""", e as (select rid_i u, rid_j v from dist where dist < {config.epsilon} union select rid_j, rid_i from dist where dist < {config.epsilon}),
             reach(u, l) as (select u, u from e union select e.v, reach.l from reach join e using (u)) select u rid, min(l) label from reach group by u""",
         "metrics_by_rows": upto("sig", "tf", "rec") + ", " + bks + " " + " union all ".join(banded(k) for k in (2, 4, 8)),
         "top_similar": upto("dist")
@@ -406,4 +419,4 @@ def _sql() -> dict[str, str]:
     }
 
 
-ORACLE = _sql()
+ORACLE = {**_sql(CONFIG), "metrics_by_rows": _sql(SHORT)["metrics_by_rows"]}
