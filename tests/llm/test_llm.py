@@ -148,6 +148,26 @@ def test_same_products(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8, 9: 9}
 
 
+def test_only_conflicting_links_are_cut(spark):
+    """A bridge between two products, and one mistyped model number, leave the other links in place."""
+    ean = {"EAN": "4006381333931"}
+    fig = {"Contrast": "5000:1", "Brightness": "300 nits"}
+    long = "48 inch television for rooms large or small " + " ".join(f"{a}o{b}e" for a in "bdfg" for b in "klmnp")
+    rows = [
+        (1, "Karvolin ZF48-K6M2V 48 inch TV silver edition", ean),
+        (2, "karvolin 48 inch screen, stock item", {**ean, **fig}),
+        (3, f"Karvolin {long}", fig),
+        (4, f"Karvolin {long} new", None),
+        (5, f"Karvolin ZF48-T7R3X {long}", None),
+        (6, "Karvolin ZF50K6M2VA alpha", {"EAN": "96385074"}),
+        (7, "Karvolin ZF50K6M2VA beta gamma", {"EAN": "96385074"}),
+        (8, "Karvolin ZF50K6M2VK delta words", {"EAN": "96385074"}),
+        (9, "no model, other words here", {"EAN": "96385074"}),
+    ]
+    got = {r.rid: r.product for r in products.same_products(spark.createDataFrame(rows, REC), spark.createDataFrame(BRANDS, "brand_id int, brand string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 6, 7: 6, 8: 8, 9: 6}
+
+
 # encoding
 
 TEXTS = [None, "", " ", "a", "<|endoftext|> a", "é ü  \n\n x", "word " * 500, "x" * 5000, "日本語のテキスト " * 40, "🙂🙂 don't 12 345", "\r\n \t\r\nA  B", "naïve " * 3 + "\n"]

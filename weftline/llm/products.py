@@ -6,8 +6,9 @@ prefix together with the screen size, and pairs of technical figures together
 with brand and size.  Listings that share a key are linked to the key's
 smallest listing, so links grow with the rows, and connected components are
 the products.  Guards keep components apart: a key that meets two model
-numbers or two trade numbers links nothing, and a component with two model
-numbers falls back to its listings' own numbers.
+numbers or two trade numbers links nothing, but for a trade number with a clear
+majority model, and in a component with two model numbers each listing without
+one keeps to its strongest links.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftline.functions.quantities import UNITS
 from weftline.llm import canonical, lookalike, nearcopies
-from weftline.operators.cluster import both_ways, components
+from weftline.operators.cluster import components
 from weftline.operators.units import feature_statements, title_statements
 from weftline.session import durable
 
@@ -34,6 +35,8 @@ FIGURES = {
     "year": ("year", "model year", "release year", "introduced"),
     "energy": ("energy class", "energy label", "energy rating"),
 }
+#: Kinds of links from the strongest on.
+COPY, MODEL_TIER, TRADE, CODED, NEAR, FIGURED = range(6)
 #: A model number: two letters, the size in inches, a code of five and a suffix letter; blanks or hyphens may part them.
 MODEL = re.compile(r"(?<![A-Z0-9])([A-Z]{2})[ -]?([1-9]\d)[ -]?([A-Z0-9]{5}[A-Z]?)(?![A-Z0-9])")
 #: The code alone: no vowels but for the suffix, and no number with a unit.
@@ -123,26 +126,59 @@ def keys(listings: DataFrame) -> DataFrame:
 
 
 def linked(listings: DataFrame, copies: DataFrame) -> DataFrame:
-    """Edges ``u, v`` between listings and their keys' smallest listings, and between near copies, both ways.
-
-    ``copies`` has ``u, v``.  Keys that meet two model numbers or two trade
-    numbers, and copies with different model or trade numbers, link nothing.
+    """Edges ``u, v, tier`` between listings and their keys' smallest listings, and between near copies, both ways.
+
+    ``copies`` has ``u, v, tier``.  A trade number that meets several model
+    numbers links the listings without model to those of its clear majority
+    (at least twice as many listings as the next model's); without one, and
+    for the other keys, which are no identifiers, two model numbers or two
+    trade numbers link nothing.  Copies with different model or trade numbers
+    link nothing.
     """
     own = listings.select("rid", "model", "trade")
+    keyed = durable(keys(listings).distinct().join(own, "rid"))
+    votes = keyed.filter("kind = 't' and model is not null").groupBy("kind", "key", "model").count()
+    two = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("count", "model")))), 1, 2)
+    top = votes.groupBy("kind", "key").agg(two.alias("x")).filter("size(x) > 1 and x[0].count >= 2 * x[1].count").select("kind", "key", F.col("x")[0]["model"].alias("most"))
+    fit = keyed.join(top, ["kind", "key"], "left").filter("most is null or model is null or model = most")
     hubs = (
-        keys(listings)
-        .join(own, "rid")
-        .groupBy("kind", "key")
+        fit.groupBy("kind", "key")
         .agg(F.min("rid").alias("hub"), F.min("model").alias("m0"), F.max("model").alias("m1"), F.min("trade").alias("t0"), F.max("trade").alias("t1"))
         .filter("(m0 is null or m0 = m1) and (kind = 'm' or t0 is null or t0 = t1)")
         .select("kind", "key", "hub")
     )
-    by_key = keys(listings).join(hubs, ["kind", "key"]).filter("rid <> hub").select(F.col("rid").alias("u"), F.col("hub").alias("v"))
+    tier = F.when(F.col("kind") == "m", MODEL_TIER).when(F.col("kind") == "t", TRADE).when(F.col("kind") == "c", CODED).otherwise(FIGURED)
+    by_key = fit.join(hubs, ["kind", "key"]).filter("rid <> hub").select(F.col("rid").alias("u"), F.col("hub").alias("v"), tier.alias("tier"))
     side = lambda c: own.select(F.col("rid").alias(c), F.col("model").alias(f"m_{c}"), F.col("trade").alias(f"t_{c}"))
     clash = F.coalesce(F.col("m_u") != F.col("m_v"), F.lit(False)) | F.coalesce(F.col("t_u") != F.col("t_v"), F.lit(False))
-    by_copy = copies.join(side("u"), "u").join(side("v"), "v").filter(~clash).select("u", "v")
+    by_copy = copies.join(side("u"), "u").join(side("v"), "v").filter(~clash).select("u", "v", "tier")
     one_way = by_key.unionByName(by_copy)
-    return both_ways(one_way).distinct()
+    back = one_way.select(F.col("v").alias("u"), F.col("u").alias("v"), "tier")
+    return one_way.unionByName(back).groupBy("u", "v").agg(F.min("tier").alias("tier"))
+
+
+def parted(mixed: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """``rid, name`` of listings ``rid, model`` whose components hold several models; listings of one name stay together.
+
+    A listing without model takes the model of its strongest links, tier by
+    tier, if they agree on one.  What stays ambiguous forms components of its
+    own over its links, so that copies stay together.
+    """
+    at = durable(mixed.select("rid", F.col("model").alias("name")))
+    inside = durable(edges.join(at.select(F.col("rid").alias("u")), "u", "left_semi"))
+    for tier in range(FIGURED + 1):
+        for _ in range(most_rounds):
+            open_ = at.filter("name is null").select(F.col("rid").alias("u"))
+            near = inside.filter(F.col("tier") <= tier).join(open_, "u").join(at.filter("name is not null").select(F.col("rid").alias("v"), "name"), "v")
+            by_tier = near.groupBy("u", "tier").agg(F.min("name").alias("a"), F.max("name").alias("b"))
+            new = durable(by_tier.groupBy("u").agg(F.min(F.struct("tier", "a", "b")).alias("x")).filter("x.a = x.b").select(F.col("u").alias("rid"), F.col("x.a").alias("taken")))
+            if not new.limit(1).count():
+                break
+            at = durable(at.join(new, "rid", "left").select("rid", F.coalesce("name", "taken").alias("name")))
+    rest = at.filter("name is null").select("rid")
+    between = durable(inside.join(rest.select(F.col("rid").alias("u")), "u", "left_semi").join(rest.select(F.col("rid").alias("v")), "v", "left_semi").select("u", "v"))
+    left = components(between).select(F.col("u").alias("rid"), "label")
+    return at.join(left, "rid", "left").select("rid", F.coalesce(F.concat(F.lit("m"), "name"), F.concat(F.lit("r"), F.coalesce("label", "rid").cast("string"))).alias("name"))
 
 
 def same_products(records: DataFrame, brands: DataFrame) -> DataFrame:
@@ -161,16 +197,18 @@ def same_products(records: DataFrame, brands: DataFrame) -> DataFrame:
     listings = durable(listings.drop("entry"))
     sets = durable(nearcopies.word_sets(forms))
     classes = durable(nearcopies.copy_classes(sets))
-    pairs = nearcopies.similar_classes(sets, classes, 0.75).select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
-    copies = pairs.unionByName(classes.filter("rid <> rep").select(F.col("rid").alias("u"), F.col("rep").alias("v")))
+    pairs = nearcopies.similar_classes(sets, classes, 0.75).select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"), F.lit(NEAR).alias("tier"))
+    copies = pairs.unionByName(classes.filter("rid <> rep").select(F.col("rid").alias("u"), F.col("rep").alias("v"), F.lit(COPY).alias("tier")))
     edges = durable(linked(listings, copies))
     labels = components(edges)
     joined = listings.select("rid", "model", "trade").join(labels.withColumnRenamed("u", "rid"), "rid", "left").withColumn("product", F.coalesce("label", "rid"))
     mixed = joined.groupBy("product").agg(F.min("model").alias("m0"), F.max("model").alias("m1")).filter("m0 <> m1").select("product", F.lit(True).alias("mixed"))
-    whole = joined.join(mixed, "product", "left")
-    own = F.coalesce(F.concat(F.lit("m"), "model"), F.concat(F.lit("t"), "trade"), F.concat(F.lit("r"), F.col("rid").cast("string")))
-    name = F.when(F.col("mixed"), own).otherwise(F.concat(F.lit("p"), F.col("product").cast("string")))
-    grouped = durable(whole.select("rid", "model", "trade", name.alias("name")))
+    mixed = durable(mixed)
+    grouped = joined.withColumn("name", F.concat(F.lit("p"), F.col("product").cast("string")))
+    if mixed.limit(1).count():
+        several = parted(joined.join(mixed, "product").select("rid", "model"), edges).withColumnRenamed("name", "part")
+        grouped = grouped.join(several, "rid", "left").withColumn("name", F.coalesce("part", "name"))
+    grouped = durable(grouped.select("rid", "model", "trade", "name"))
     smallest = grouped.groupBy("name").agg(F.min("rid").alias("product"))
     return grouped.join(smallest, "name").select("rid", "product", "model", "trade")
 
