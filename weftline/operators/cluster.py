@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from weftline.session import durable
+from weftline.session import discard, durable
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -26,16 +26,17 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     label's own label, so long chains shrink fast.  Each round is written to
     the shared checkpoint folder.
     """
-    labels = durable(edges.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("label")))
+    labels = durable(edges.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("label"), F.lit(None).cast(edges.schema["u"].dataType).alias("old")))
     for _ in range(most_rounds):
         near = edges.join(labels.select(F.col("u").alias("v"), F.col("label").alias("l")), "v").groupBy("u").agg(F.min("l").alias("l"))
-        step = labels.join(near, "u").select("u", F.least("label", "l").alias("label"), F.col("label").alias("old"))
+        step = labels.select("u", "label").join(near, "u").select("u", F.least("label", "l").alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("u").alias("label"), F.col("label").alias("up"))
         new = durable(step.join(jump, "label", "left").select("u", F.coalesce(F.least("up", "label"), "label").alias("label"), "old"))
         changed = new.filter("label <> old").limit(1).count()
-        labels = new.select("u", "label")
+        discard(labels)
+        labels = new
         if not changed:
-            return labels
+            return labels.select("u", "label")
     raise RuntimeError(f"components have not settled after {most_rounds} rounds")
 
 

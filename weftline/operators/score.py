@@ -2,7 +2,7 @@
 
 All parts of a pair's score are expressions over one row, which holds both
 records' cleaned titles and key-value lists; the only joins bring these to the
-pair.  Scoring is bound by CPU, so the pairs are spread over all cores first.
+pair.  Scoring is bound by CPU, so AQE deals the pairs to tasks of even size first.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from weftline.config import DedupConfig
 from weftline.functions import similarity as sim
 from weftline.functions.strings import mixed_tokens, qgrams
 from weftline.operators.tokens import key_values
-from weftline.session import durable, spread
+from weftline.session import durable
 
 
 def paired(candidates: DataFrame, records: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def paired(candidates: DataFrame, records: DataFrame) -> DataFrame:
     grams = F.transform("kv", lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), qgrams(e["key"]).alias("kg"), qgrams(e["value"]).alias("vg")))
     side = kv.select("rid", F.coalesce("title", F.lit("")).alias("title"), grams.alias("kv"), mixed_tokens(F.transform("kv", lambda e: e["value"])).alias("words"))
     named = lambda s: side.select(*(F.col(c).alias(f"{c}_{s}") for c in side.columns))
-    return spread(candidates.join(named("i"), "rid_i").join(named("j"), "rid_j"), "rid_i", "rid_j")
+    return candidates.join(named("i"), "rid_i").join(named("j"), "rid_j").hint("rebalance")
 
 
 def key_matches(pairs: DataFrame, gamma: float) -> DataFrame:

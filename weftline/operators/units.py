@@ -134,7 +134,7 @@ def statements(records: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["rid", "field", "quantity", "value", "unit", "base"])
 
     slim = records.select(F.col("rid").cast("long"), "title", "features")
-    return spread(slim, F.xxhash64("rid", "title")).mapInArrow(run, STATEMENT)
+    return spread(slim).mapInArrow(run, STATEMENT)
 
 
 def fit_mixture(stated: list[tuple[float, float]], bare: list[tuple[float, float]], shifts: list[float], rounds: int = 60, parts: int = 3) -> dict:

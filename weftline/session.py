@@ -3,43 +3,52 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     Only where that setting is absent (a local test session) is a folder of
     this machine taken.
     """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+    if getattr(sc, "_weftline_folder", None):
+        return sc._weftline_folder
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
-    else:
+    if not named and not sc.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    root = named or tempfile.mkdtemp(prefix="weftline-")
+    sc._weftline_folder = f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(sc._weftline_folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return sc._weftline_folder
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+    """``df`` written to the shared folder and read again, which cuts its lineage.
 
-    Survives the loss of executors, unlike a cache of one copy.  A checkpoint
-    runs its plan once to count and once to write; the rows are held in
-    between, so that the plan runs once.
+    Survives the loss of executors, unlike a cache of one copy; runs the plan
+    once; and the optimizer knows the table's size.  The folder goes when the
+    driver's JVM ends; ``discard`` drops a table that is needed no more.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    held = df.persist()
-    try:
-        return held.checkpoint(eager=True)
-    finally:
-        held.unpersist()
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._weftline_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``durable`` table that nothing will read again."""
+    if path := getattr(df, "_weftline_path", None):
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -47,14 +56,23 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
-    """Repartition before a Python-bound step so that all cores take part.
+def estimated_bytes(df: DataFrame) -> int:
+    """Bytes of the plan's rows as the optimizer estimates them; nothing is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to all cores before a Python-bound step, where the scan would leave cores idle.
 
-    AQE may merge small shuffle partitions by bytes; a CPU-bound step wants
-    them as many as the session's shuffle width, which an explicit number
-    keeps.
+    A table of more bytes than two splits a core stays as it is read, so no
+    texts cross the network.  A smaller one is dealt in turn, whatever its
+    keys, to one task a core or to as many of 32 MB.
     """
-    return df.repartition(shuffle_width(df.sparkSession), *keys)
+    spark = df.sparkSession
+    cores, size = spark.sparkContext.defaultParallelism, estimated_bytes(df)
+    if size >= 2 * cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes():
+        return df
+    return df.repartition(max(cores, size >> 25))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
