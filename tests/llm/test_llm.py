@@ -29,8 +29,22 @@ def test_tree_finds_all_within():
     rng = random.Random(6)
     words = list({"".join(rng.choice("abcd") for _ in range(rng.randint(2, 7))) for _ in range(200)})
     tree = canonical.BKTree((w, i) for i, w in enumerate(words))
-    for q in words[:30] + ["", "zzzz"]:
-        assert tree.within(q, 2) == sorted((d, w, i) for i, w in enumerate(words) if (d := canonical.distance(q, w)) <= 2)
+    queries = words[:60] + ["", "zzzz", "a" * 12, "ba9c"] + ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 8))) for _ in range(200)]
+    for most in (0, 1, 2):
+        want = [sorted((d, w, i) for i, w in enumerate(words) if (d := canonical.distance(q, w)) <= most) for q in queries]
+        assert tree.search(queries, most) == want and [tree.within(q, most) for q in queries] == want
+    assert canonical.BKTree([]).within("abc", 2) == []
+
+
+def test_names_in_any_place(spark):
+    """A name at a title's end, after unknown words and in the middle; sounds alike aren't the same name."""
+    titles = ["40 inch LED TV by Karvolin", "Refurbished Karvolin 40", "Used Karvolin TV", "Superb display, Halden Vire, 40 inch", "TV replaces Karvolin", "Zzyzx TV fits Karvolin and more", "old stock tv karvolim", "Wega 40", "Vega 40"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "rid long, title string")
+    brands = spark.createDataFrame([*BRANDS, (7, "Wega"), (8, "Vega")], "brand_id int, brand string")
+    got = {r.rid: (r.entry, r.distance) for r in canonical.map_titles(df, brands).collect()}
+    assert [got[i][0] for i in range(len(titles))] == [1, 1, 1, 2, 0, 0, 1, 7, 8] and got[7][1] == got[8][1] == 0
+    both = spark.createDataFrame([(1, "nothing here"), (1, "Vegs 40"), (1, "Karvolin 40")], "rid long, title string")
+    assert [tuple(r)[:3] for r in canonical.nearest(canonical.map_titles(both, brands)).collect()] == [(1, 1, 0)]
 
 
 BRANDS = [(1, "Karvolin"), (2, "Halden Vire"), (3, "Ixel"), (4, "Éluvique"), (5, None), (6, "--")]

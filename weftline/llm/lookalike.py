@@ -238,7 +238,7 @@ def to_one_form(records: DataFrame, score: Bigrams | None = None) -> DataFrame:
                 names=["rid", "title", "features", "title_odd", "features_odd"],
             )
 
-    return spread(record_texts(records), F.xxhash64("rid", "title")).mapInArrow(run, FORMS)
+    return spread(record_texts(records)).mapInArrow(run, FORMS)
 
 
 def odd_texts(forms: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftline.llm.lookalike import WORD, to_one_form
 from weftline.operators.cluster import both_ways, components
-from weftline.session import durable, spread
+from weftline.session import durable
 
 #: Most words a record can have.
 MOST = 2**31
@@ -40,6 +40,12 @@ HELD = 50_000
 FREQUENT = 0.005
 
 
+def hashed_words(title: str | None, features: list[tuple[str, str | None]]) -> list[int]:
+    """Sorted 64-bit hashes of the distinct words of a title and of features' values."""
+    words = {w for text in [title, *(v for _, v in features)] if text for w in WORD.findall(text.lower())}
+    return sorted(xxhash.xxh64_intdigest(w) - 2**63 for w in words)
+
+
 def word_sets(forms: DataFrame) -> DataFrame:
     """``rid, words`` of ``rid, title, features`` in one form: sorted 64-bit hashes of the distinct words.
 
@@ -50,10 +56,7 @@ def word_sets(forms: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for title, entries in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = {w for text in [title, *(e["value"] for e in entries or [])] if text for w in WORD.findall(text.lower())}
-                sets.append(sorted(xxhash.xxh64_intdigest(w) - 2**63 for w in words))
+            sets = [hashed_words(t, [(e["key"], e["value"]) for e in f or []]) for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rid", "words"])
 
     return forms.select("rid", "title", "features").mapInArrow(run, "rid long, words array<long>").groupBy("rid").agg(F.min("words").alias("words"))
@@ -144,7 +147,7 @@ def similar_classes(sets: DataFrame, classes: DataFrame, similarity: float) -> D
     """``rep_a, rep_b, common, similarity`` of all pairs of different classes at or above the similarity."""
     spark = sets.sparkSession
     reps = sets.join(classes.filter("rid = rep").select("rid"), "rid").select(F.col("rid").alias("rep"), "words")
-    reps = durable(spread(reps, "rep"))
+    reps = durable(reps)
     total = reps.count()
     usual = (
         reps.select(F.explode("words").alias("w"))

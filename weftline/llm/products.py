@@ -1,29 +1,35 @@
 """Listings of different sellers that offer the same product.
 
-Each listing gives keys: its model number (prefix, size, code and suffix
+Each listing gives keys: its model number (series, size, code and suffix
 letter), a trade number with a valid check digit, a code that stands without
-prefix together with the screen size, and pairs of technical figures together
-with brand and size.  Listings that share a key are linked to the key's
-smallest listing, so links grow with the rows, and connected components are
-the products.  Guards keep components apart: a key that meets two model
-numbers or two trade numbers links nothing, but for a trade number with a clear
-majority model, and in a component with two model numbers each listing without
-one keeps to its strongest links.
+series together with the screen size, and combinations of technical figures
+with maker and size.  A combination is a key only if its figures tell enough:
+the chance that two listings agree on each is counted over all listings, and
+together it must be so small that hardly any pair agrees by chance.  Listings
+that share a key are linked to the key's smallest listing, so links grow with
+the rows, and connected components are the products.  Guards keep components
+apart: a key that meets two model numbers, two trade numbers or two makers
+links nothing, but for a trade number with a clear majority model, and in a
+component with two model numbers each listing without one keeps to its
+strongest links.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.functions.quantities import UNITS
 from weftline.llm import canonical, lookalike, nearcopies
 from weftline.operators.cluster import components
 from weftline.operators.units import feature_statements, title_statements
-from weftline.session import durable
+from weftline.session import discard, durable
 
 # Names of the features that hold identifiers and figures.
 BRAND_NAMES = ("brand", "brand name", "manufacturer")
@@ -34,14 +40,20 @@ FIGURES = {
     "brightness": ("brightness", "luminance", "peak brightness"),
     "year": ("year", "model year", "release year", "introduced"),
     "energy": ("energy class", "energy label", "energy rating"),
+    "sound": ("speaker output power", "audio output", "sound output"),
 }
 #: Kinds of links from the strongest on.
 COPY, MODEL_TIER, TRADE, CODED, NEAR, FIGURED = range(6)
-#: A model number: two letters, the size in inches, a code of five and a suffix letter; blanks or hyphens may part them.
-MODEL = re.compile(r"(?<![A-Z0-9])([A-Z]{2})[ -]?([1-9]\d)[ -]?([A-Z0-9]{5}[A-Z]?)(?![A-Z0-9])")
+#: A model number: series letters, the size in inches, a code and perhaps a suffix letter.  Blanks or hyphens may part a series of
+#: two letters from its size and its code of five; in one run, series and code may have other lengths if the code has a digit.
+MODEL = re.compile(
+    r"(?<![A-Z0-9])(?:([A-Z]{2})[ -]?([1-9]\d|1[01]\d)[ -]?([A-Z0-9]{5}[A-Z]?)|([A-Z]{1,5})(1[01]\d|[2-9]\d)((?=[A-Z]*\d)[A-Z][A-Z0-9]{2,9}))(?![A-Z0-9])"
+)
 #: The code alone: no vowels but for the suffix, and no number with a unit.
 CODE = re.compile(r"(?<![A-Z0-9.,])(?!\d+[A-Z]{1,2}(?![A-Z0-9]))([B-DF-HJ-NP-TV-Z0-9]{5}[A-Z]?)(?![A-Z0-9])")
 _UNIT_WORDS = {w.upper() for table in UNITS.values() for u in table for w in u.split() if len(w) >= 5}
+#: Most figures in a combination, and bits that it must tell beyond those that number the listings.
+MOST_FIGURES, MARGIN = 3, 10.0
 
 
 def valid_trade_number(text: str | None) -> str | None:
@@ -56,7 +68,14 @@ def valid_trade_number(text: str | None) -> str | None:
 
 def models(text: str) -> list[tuple[str, int, str]]:
     """(model number, size, code) of each model number in a text."""
-    return [("".join(m.groups()), int(m[2]), m[3]) for m in MODEL.finditer(text.upper()) if m[3] not in _UNIT_WORDS]
+    found = [(m[1] or m[4], m[2] or m[5], m[3] or m[6]) for m in MODEL.finditer(text.upper())]
+    return [("".join(x), int(x[1]), x[2]) for x in found if x[2] not in _UNIT_WORDS]
+
+
+def _sound(value: str) -> str | None:
+    """Watts of a statement like "2 x 10 W" or "20 watts RMS" as digits."""
+    m = re.match(r"(?:(\d+)\s*[x×]\s*)?(\d+)\s*w", value.lower())
+    return str(int(m[1] or 1) * int(m[2])) if m else None
 
 
 def listing_keys(title: str | None, features: list[tuple[str, str | None]]) -> dict:
@@ -66,8 +85,10 @@ def listing_keys(title: str | None, features: list[tuple[str, str | None]]) -> d
     text = title or ""
     model = first(MODEL_NAMES, lambda v: next(iter(models(v)), None)) or next(reversed(models(text)), None)
     inch = model[1] if model else None
+    of_features = feature_statements(features)
+    base = {q: x for q, _, _, x in reversed(of_features) if x}
     if inch is None:
-        stated = [s for s in [*title_statements(text), *feature_statements(features)] if s[0] == "diagonal_mm" and s[3]]
+        stated = [s for s in [*title_statements(text), *of_features] if s[0] == "diagonal_mm" and s[3]]
         inch = round(stated[0][3] / 25.4) if stated else None
     brand = first(BRAND_NAMES, canonical.name_form)
     return {
@@ -80,49 +101,88 @@ def listing_keys(title: str | None, features: list[tuple[str, str | None]]) -> d
         "brightness": first(FIGURES["brightness"], lambda v: re.sub(r"\D", "", (re.match(r"[\d., ]+", v) or [""])[0])),
         "year": first(FIGURES["year"], lambda v: (re.search(r"\d{4}", v) or [None])[0]),
         "energy": first(FIGURES["energy"], lambda v: (re.search(r"\b[A-G]\b\+*", v.upper()) or [None])[0]),
+        "sound": first(FIGURES["sound"], _sound),
+        "power": str(round(base["power_mw"] / 1000)) if "power_mw" in base else None,
+        "refresh": str(round(base["refresh_hz"])) if "refresh_hz" in base else None,
     }
 
 
+#: Figures that may combine to keys.
+TOLD = ("contrast", "brightness", "year", "energy", "sound", "power", "refresh")
 _COLUMNS = {
     "model": pa.string(),
     "trade": pa.string(),
     "inch": pa.int32(),
     "codes": pa.list_(pa.string()),
     "brand": pa.string(),
-    "contrast": pa.string(),
-    "brightness": pa.string(),
-    "year": pa.string(),
-    "energy": pa.string(),
+    **dict.fromkeys(TOLD, pa.string()),
+    "words": pa.list_(pa.int64()),
 }
-SCHEMA = "rid long, model string, trade string, inch int, codes array<string>, brand string, contrast string, brightness string, year string, energy string"
+SCHEMA = "rid long, mark long, model string, trade string, inch int, codes array<string>, brand string, " + ", ".join(f"{c} string" for c in TOLD) + ", words array<long>"
 
 
 def extract(forms: DataFrame) -> DataFrame:
-    """Identifiers and figures of records ``rid, title, features`` in one form."""
+    """Identifiers, figures and word sets of records ``rid, title, features`` in one form, one row per rid.
+
+    Of several different rows of a rid the one with the largest hash holds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [listing_keys(t, [(e["key"], e["value"]) for e in f or []]) for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[c] for r in rows], k) for c, k in _COLUMNS.items())], names=["rid", *_COLUMNS])
+            rows, marks = [], []
+            for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                features = [(e["key"], e["value"]) for e in f or []]
+                rows.append(listing_keys(t, features) | {"words": nearcopies.hashed_words(t, features)})
+                marks.append(xxhash.xxh64_intdigest(repr((t, features))) - 2**63)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), *(pa.array([r[c] for r in rows], k) for c, k in _COLUMNS.items())], names=["rid", "mark", *_COLUMNS])
+
+    rows = forms.select("rid", "title", "features").mapInArrow(run, SCHEMA)
+    return rows.groupBy("rid").agg(F.max_by(F.struct(*_COLUMNS), "mark").alias("x")).select("rid", "x.*")
 
-    return forms.select("rid", "title", "features").mapInArrow(run, SCHEMA)
+
+def telling(listings: DataFrame) -> list[tuple[str, ...]]:
+    """The least combinations of up to MOST_FIGURES figures that, with maker and size, tell a product from all others.
+
+    A figure tells -log2 of the chance that two listings which give it agree,
+    counted over all listings.  A combination must tell log2 of the number of
+    listings and MARGIN bits more, so that of n listings about n / 2**(MARGIN
+    + 1) pairs agree by chance.
+    """
+    given = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("f"), F.col(c).cast("string").alias("v"))) for c in ("maker", "inch", *TOLD))))
+    counts = listings.select(F.explode(given).alias("x")).groupBy("x.f", "x.v").agg(F.count("*").cast("double").alias("c"))
+    rows = counts.groupBy("f").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same")).collect()  # one row a figure
+    bits = {r["f"]: math.log2(r["n"] ** 2 / r["same"]) for r in rows}
+    need = math.log2(max(listings.count(), 2)) + MARGIN - bits.get("maker", 0.0) - bits.get("inch", 0.0)
+    out: list[tuple[str, ...]] = []
+    for k in range(1, MOST_FIGURES + 1):
+        for combo in itertools.combinations([c for c in TOLD if c in bits], k):
+            if sum(bits[c] for c in combo) >= need and not any(set(o) <= set(combo) for o in out):
+                out.append(combo)
+    return out
 
 
 def keys(listings: DataFrame) -> DataFrame:
-    """``rid, kind, key`` of extracted listings with their brand in ``maker``."""
+    """``rid, model, trade, maker, kind, key`` of extracted listings with their brand in ``maker``.
+
+    Model numbers and codes give a key by themselves, of kind ``m`` and ``c``,
+    and one with the maker, for those that several makers use.
+    """
     part = lambda *c: F.concat_ws("|", *c)
-    every = lambda *c: F.expr(" and ".join(f"{x} is not null" for x in c))
-    specs = [("contrast", "brightness"), ("contrast", "year"), ("brightness", "year", "energy")]
+    maker = F.coalesce("maker", F.lit("?"))
+    code = lambda kind, key: F.transform("codes", lambda c: F.struct(F.lit(kind).alias("kind"), key(c).alias("key")))
+
+    def option(kind: str, key: Column, *needed: str) -> Column:
+        there = F.expr(" and ".join(f"{c} is not null" for c in needed))
+        return F.when(there, F.array(F.struct(F.lit(kind).alias("kind"), key.alias("key"))))
+
     options = [
-        F.when(every("model"), F.struct(F.lit("m").alias("kind"), F.col("model").alias("key"))),
-        F.when(every("trade"), F.struct(F.lit("t").alias("kind"), F.col("trade").alias("key"))),
-        *(F.when(every("maker", "inch", *s), F.struct(F.lit("f" + "".join(x[0] for x in s)).alias("kind"), part("maker", "inch", *s).alias("key"))) for s in specs),
+        option("m", F.col("model"), "model"),
+        option("mm", part("model", "maker"), "model", "maker"),
+        option("t", F.col("trade"), "trade"),
+        F.when(F.col("inch").isNotNull(), F.concat(code("c", lambda c: part("inch", c)), code("cm", lambda c: part("inch", c, maker)))),
+        *(option("f" + "+".join(s), part("maker", "inch", *s), "maker", "inch", *s) for s in telling(listings)),
     ]
-    plain = listings.select("rid", F.explode(F.array_compact(F.array(*options))).alias("x")).select("rid", "x.kind", "x.key")
-    codes = listings.filter("inch is not null").select("rid", "maker", F.explode("codes").alias("code"), "inch").select("rid", "maker", part("inch", "code").alias("key"))
-    makers = codes.groupBy("key").agg((F.count_distinct("maker") > 1).alias("several"))
-    code_keys = codes.join(makers, "key").select("rid", F.lit("c").alias("kind"), F.when(F.col("several"), part("key", F.coalesce("maker", F.lit("?")))).otherwise(F.col("key")).alias("key"))
-    return plain.unionByName(code_keys)
+    return listings.select("rid", "model", "trade", "maker", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*options))))).alias("x")).select("rid", "model", "trade", "maker", "x.kind", "x.key")
 
 
 def linked(listings: DataFrame, copies: DataFrame) -> DataFrame:
@@ -130,31 +190,40 @@ def linked(listings: DataFrame, copies: DataFrame) -> DataFrame:
 
     ``copies`` has ``u, v, tier``.  A trade number that meets several model
     numbers links the listings without model to those of its clear majority
-    (at least twice as many listings as the next model's); without one, and
-    for the other keys, which are no identifiers, two model numbers or two
-    trade numbers link nothing.  Copies with different model or trade numbers
+    (at least twice as many listings as have any other model); without one, and
+    for the other keys, which are no identifiers, two model numbers, trade
+    numbers or makers link nothing.  Copies with different model or trade numbers
     link nothing.
     """
-    own = listings.select("rid", "model", "trade")
-    keyed = durable(keys(listings).distinct().join(own, "rid"))
-    votes = keyed.filter("kind = 't' and model is not null").groupBy("kind", "key", "model").count()
-    two = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("count", "model")))), 1, 2)
-    top = votes.groupBy("kind", "key").agg(two.alias("x")).filter("size(x) > 1 and x[0].count >= 2 * x[1].count").select("kind", "key", F.col("x")[0]["model"].alias("most"))
-    fit = keyed.join(top, ["kind", "key"], "left").filter("most is null or model is null or model = most")
-    hubs = (
-        fit.groupBy("kind", "key")
-        .agg(F.min("rid").alias("hub"), F.min("model").alias("m0"), F.max("model").alias("m1"), F.min("trade").alias("t0"), F.max("trade").alias("t1"))
-        .filter("(m0 is null or m0 = m1) and (kind = 'm' or t0 is null or t0 = t1)")
-        .select("kind", "key", "hub")
+    keyed = durable(keys(listings))
+    has = F.col("model").isNotNull()
+    cells = keyed.groupBy("kind", "key", "model").agg(
+        F.count("*").alias("n"), F.min("rid").alias("lo"), F.min("trade").alias("t0"), F.max("trade").alias("t1"), F.min("maker").alias("k0"), F.max("maker").alias("k1")
+    )
+    per = cells.groupBy("kind", "key").agg(
+        F.max(F.when(has, F.struct("n", "model", "lo"))).alias("top"),
+        F.coalesce(F.sum(F.when(has, F.col("n"))), F.lit(0)).alias("modelled"),
+        F.min(F.when(~has, F.col("lo"))).alias("lo"),
+        F.sum("n").alias("n"),
+        *(f(c).alias(c) for c, f in (("t0", F.min), ("t1", F.max), ("k0", F.min), ("k1", F.max))),
     )
-    tier = F.when(F.col("kind") == "m", MODEL_TIER).when(F.col("kind") == "t", TRADE).when(F.col("kind") == "c", CODED).otherwise(FIGURED)
-    by_key = fit.join(hubs, ["kind", "key"]).filter("rid <> hub").select(F.col("rid").alias("u"), F.col("hub").alias("v"), tier.alias("tier"))
+    one_model = F.col("top").isNull() | (F.col("top.n") == F.col("modelled"))
+    clear = F.col("top").isNull() | (F.col("top.n") >= 2 * (F.col("modelled") - F.col("top.n")))
+    one_trade, one_maker = F.col("t0").isNull() | (F.col("t0") == F.col("t1")), F.col("k0").isNull() | (F.col("k0") == F.col("k1"))
+    sound = F.when(F.col("kind") == "t", clear).when(F.col("kind").isin("m", "mm"), (F.col("kind") == "mm") | one_maker).otherwise(one_model & one_trade & ((F.col("kind") != "c") | one_maker))
+    hubs = per.filter((F.col("n") > 1) & sound).select("kind", "key", F.least("lo", "top.lo").alias("hub"), F.col("top.model").alias("most"))
+    tier = F.when(F.col("kind").startswith("m"), MODEL_TIER).when(F.col("kind") == "t", TRADE).when(F.col("kind").startswith("c"), CODED).otherwise(FIGURED)
+    fit = keyed.join(hubs, ["kind", "key"]).filter("rid <> hub and (model is null or model = most)")
+    by_key = fit.select(F.col("rid").alias("u"), F.col("hub").alias("v"), tier.alias("tier"))
+    own = listings.select("rid", "model", "trade")
     side = lambda c: own.select(F.col("rid").alias(c), F.col("model").alias(f"m_{c}"), F.col("trade").alias(f"t_{c}"))
     clash = F.coalesce(F.col("m_u") != F.col("m_v"), F.lit(False)) | F.coalesce(F.col("t_u") != F.col("t_v"), F.lit(False))
     by_copy = copies.join(side("u"), "u").join(side("v"), "v").filter(~clash).select("u", "v", "tier")
     one_way = by_key.unionByName(by_copy)
     back = one_way.select(F.col("v").alias("u"), F.col("u").alias("v"), "tier")
-    return one_way.unionByName(back).groupBy("u", "v").agg(F.min("tier").alias("tier"))
+    edges = durable(one_way.unionByName(back).groupBy("u", "v").agg(F.min("tier").alias("tier")))
+    discard(keyed)
+    return edges
 
 
 def parted(mixed: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
@@ -166,7 +235,7 @@ def parted(mixed: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFr
     """
     at = durable(mixed.select("rid", F.col("model").alias("name")))
     inside = durable(edges.join(at.select(F.col("rid").alias("u")), "u", "left_semi"))
-    for tier in range(FIGURED + 1):
+    for tier in sorted(r[0] for r in inside.select("tier").distinct().collect()):  # at most one row a kind of link
         for _ in range(most_rounds):
             open_ = at.filter("name is null").select(F.col("rid").alias("u"))
             near = inside.filter(F.col("tier") <= tier).join(open_, "u").join(at.filter("name is not null").select(F.col("rid").alias("v"), "name"), "v")
@@ -174,7 +243,9 @@ def parted(mixed: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFr
             new = durable(by_tier.groupBy("u").agg(F.min(F.struct("tier", "a", "b")).alias("x")).filter("x.a = x.b").select(F.col("u").alias("rid"), F.col("x.a").alias("taken")))
             if not new.limit(1).count():
                 break
-            at = durable(at.join(new, "rid", "left").select("rid", F.coalesce("name", "taken").alias("name")))
+            before, at = at, durable(at.join(new, "rid", "left").select("rid", F.coalesce("name", "taken").alias("name")))
+            discard(before)
+            discard(new)
     rest = at.filter("name is null").select("rid")
     between = durable(inside.join(rest.select(F.col("rid").alias("u")), "u", "left_semi").join(rest.select(F.col("rid").alias("v")), "v", "left_semi").select("u", "v"))
     left = components(between).select(F.col("u").alias("rid"), "label")
@@ -186,20 +257,21 @@ def same_products(records: DataFrame, brands: DataFrame) -> DataFrame:
 
     Every listing gets a row, also one without any key or with null title and
     features, which is a product of its own.  Of several different rows of a
-    rid one holds.
+    rid one holds, the same in every run.
     """
     forms = durable(lookalike.to_one_form(records))
-    found = canonical.map_titles(forms, brands).groupBy("rid").agg(F.max("entry").alias("entry"))
-    reference = brands.select(F.col("brand_id").cast("string").alias("id"), "brand")
-    named = _reference_forms(reference)
-    by_feature = F.try_element_at(named, F.col("brand")) if named is not None else F.lit(None).cast("string")
-    listings = extract(forms).dropDuplicates(["rid"]).join(found, "rid").withColumn("maker", F.when(F.col("entry") > 0, F.col("entry").cast("string")).otherwise(F.coalesce(by_feature, "brand")))
-    listings = durable(listings.drop("entry"))
-    sets = durable(nearcopies.word_sets(forms))
+    found = canonical.nearest(canonical.map_titles(forms, brands)).select("rid", "entry")
+    shards, _ = canonical.reference_shards(brands, "brand_id", "brand")
+    known = {form: str(entry) for shard in shards for form, entry in reversed(shard)}
+    named = records.sparkSession.createDataFrame(list(known.items()), "brand string, by_feature string")
+    listings = extract(forms).join(found, "rid").join(named, "brand", "left")
+    maker = F.when(F.col("entry") > 0, F.col("entry").cast("string")).otherwise(F.coalesce("by_feature", "brand"))
+    listings = durable(listings.withColumn("maker", maker).drop("entry", "by_feature"))
+    sets = listings.select("rid", "words")
     classes = durable(nearcopies.copy_classes(sets))
     pairs = nearcopies.similar_classes(sets, classes, 0.75).select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"), F.lit(NEAR).alias("tier"))
     copies = pairs.unionByName(classes.filter("rid <> rep").select(F.col("rid").alias("u"), F.col("rep").alias("v"), F.lit(COPY).alias("tier")))
-    edges = durable(linked(listings, copies))
+    edges = linked(listings, copies)
     labels = components(edges)
     joined = listings.select("rid", "model", "trade").join(labels.withColumnRenamed("u", "rid"), "rid", "left").withColumn("product", F.coalesce("label", "rid"))
     mixed = joined.groupBy("product").agg(F.min("model").alias("m0"), F.max("model").alias("m1")).filter("m0 <> m1").select("product", F.lit(True).alias("mixed"))
@@ -213,15 +285,6 @@ def same_products(records: DataFrame, brands: DataFrame) -> DataFrame:
     return grouped.join(smallest, "name").select("rid", "product", "model", "trade")
 
 
-def _reference_forms(reference: DataFrame):
-    """Map expression from a brand's form to its id, or None for an empty list; the list's size is checked where it is read."""
-    entries = [e for shard in canonical.reference_shards(reference, "id", "brand") for e in shard]
-    if not entries or len(entries) > 10_000:
-        return None
-    first = {form: entry for form, entry in reversed(entries)}
-    return F.create_map(*(F.lit(x) for pair in first.items() for x in (pair[0], str(pair[1]))))
-
-
 def product_pairs(products: DataFrame) -> DataFrame:
     """``rid_a, rid_b`` (a < b) of all listings of one product."""
     side = lambda c: products.select("product", F.col("rid").alias(f"rid_{c}"))

@@ -15,8 +15,8 @@ def p2_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A listing with several rows that differ takes the largest brand id, so a known brand before none."""
-    return p2_brands(spark, sf_dir).groupBy("rid").agg(F.max("entry").alias("brand_id"))
+    """A listing with several rows that differ takes the nearest entry, so a known brand before none."""
+    return canonical.nearest(p2_brands(spark, sf_dir)).select("rid", F.col("entry").alias("brand_id"))
 
 
 def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
