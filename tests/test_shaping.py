@@ -40,11 +40,26 @@ def test_shred_shapes(spark):
         ("C", 0, "feature", "n"),
     }
     t = dewey.tables(nodes)
-    products = {(r.file_id, tuple(r.label)) for r in t["products"].collect()}
-    offers = {(r.file_id, tuple(r.label)): (r.file_id, tuple(r.product)) for r in t["offers"].collect()}
+    products = {(r.file_id, tuple(r.label)) for r in t["product"].collect()}
+    offers = {(r.file_id, tuple(r.label)): (r.file_id, tuple(r.parent)) for r in t["product.offers"].collect()}
     assert set(offers.values()) <= products
-    assert {(r.file_id, tuple(r.offer)) for r in t["stock"].collect()} <= set(offers)
-    assert {(r.file_id, tuple(r.product)) for r in t["features"].collect()} <= products
+    assert {(r.file_id, tuple(r.parent)) for r in t["product.offers.stock"].collect()} <= set(offers)
+    assert {(r.file_id, tuple(r.parent)) for r in t["product.featuresMap"].collect()} <= products
+
+
+def test_tables_of_unseen_fields(spark):
+    """Every scalar and every level comes out, named by the data alone; field names that clash are kept apart."""
+    body = {"A": [{"rid": 7, "Rid": "x", "label": None, "tags": ["a", 1], "seller": {"name": "s", "staff": [{"n": 1, "shifts": [{"day": "mo", "breaks": {"at": "10:00"}}, "off"]}]}}]}
+    t = dewey.tables(dewey.shred(bodies(spark, json.dumps(body))))
+    assert set(t) == {"product", "product.seller", "product.seller.staff", "product.seller.staff.shifts", "product.seller.staff.shifts.breaks"}
+    row = t["product"].first()
+    assert {"rid", "Rid_2", "label_2", "tags"} <= set(t["product"].columns) or {"Rid", "rid_2", "label_2", "tags"} <= set(t["product"].columns)
+    assert row.tags == '["a", 1]' and tuple(row.label) == (0, 0) and row.outer_key == "A"
+    shifts = {tuple(r.label): r for r in t["product.seller.staff.shifts"].collect()}
+    assert sorted((r.day, r.value) for r in shifts.values() if r.day) == [("mo", None)] and sorted(r.value for r in shifts.values() if r.value) == ["off"]
+    deep = t["product.seller.staff.shifts.breaks"].first()
+    assert deep.at == "10:00" and tuple(deep.parent) in shifts and tuple(deep.parent)[:6] == tuple(t["product.seller.staff"].first().label)
+    assert dewey.tables(dewey.shred(bodies(spark, "{}"))) == {}
 
 
 def test_shred_unreadable_and_empty(spark):
@@ -121,6 +136,25 @@ def test_units_of_titles(spark):
     assert stated(spark, None) == set() and stated(spark, "") == set()
 
 
+def test_statements_far_out_are_flagged_not_dropped(spark):
+    rows = [(i, f"Ixel {19 + i % 60} inch", None) for i in range(300)] + [(900, "5 inch portable TV", None), (901, "220 inch TV wall", None), (902, "Halden Vire 9725M 65 Zoll", None)]
+    got = {(r.rid, r.unit_source, r.amount) for r in units.convert_units(spark.createDataFrame(rows, "rid long, title string, features map<string,string>")).filter("rid >= 900").collect()}
+    assert got == {(900, "stated", 127), (901, "stated", 5588), (902, "doubtful", 9725000), (902, "stated", 1651)}
+
+
+def test_words_between_two_units(spark):
+    assert stated(spark, None, {"Net Weight": "about 54 pounds, really 4 ounces"}) == {("features", "weight_g", round(54.25 * 453.59237))}
+
+
+def test_hidden_units_are_found(spark):
+    rows = [(i, None, {"Diagonal": f"{600 + 3 * (i % 90)} mm" if i % 2 else f"{60 + i % 27} cm", "Refresh Rate": f"{50 + 10 * (i % 5)} Hz"}) for i in range(600)]
+    df = spark.createDataFrame(rows, "rid long, title string, features map<string,string>")
+    out = {r.quantity: r for r in units.inferred_units(units.statements(df)).collect()}
+    for r in out.values():
+        assert r.held_out == r.inferred + r.uncertain > 50 and r.correct > 0.95 * r.held_out
+    assert units.inferred_units(units.statements(df.limit(0))).count() == 0
+
+
 def test_units_of_features(spark):
     f = {
         "Screen Size": "49,6 inches diagonal",
