@@ -20,6 +20,7 @@ import itertools
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -78,9 +79,17 @@ def _sound(value: str) -> str | None:
     return str(int(m[1] or 1) * int(m[2])) if m else None
 
 
+_READ = frozenset(x for names in (BRAND_NAMES, MODEL_NAMES, TRADE_NAMES, *FIGURES.values()) for x in names)
+
+
+@lru_cache(maxsize=100_000)
+def _plain_name(name: str) -> str:
+    return " ".join(re.sub(r"[\W_]+", " ", name.lower()).split())
+
+
 def listing_keys(title: str | None, features: list[tuple[str, str | None]]) -> dict:
     """Identifiers and figures of one listing in its one form."""
-    named = [(" ".join(re.sub(r"[\W_]+", " ", k.lower()).split()), " ".join((v or "").split())) for k, v in features if k]
+    named = [(name, " ".join((v or "").split())) for k, v in features if k and (name := _plain_name(k)) in _READ]
     first = lambda names, ok: next((x for k, v in named if k in names and (x := ok(v))), None)
     text = title or ""
     model = first(MODEL_NAMES, lambda v: next(iter(models(v)), None)) or next(reversed(models(text)), None)
@@ -88,7 +97,7 @@ def listing_keys(title: str | None, features: list[tuple[str, str | None]]) -> d
     of_features = feature_statements(features)
     base = {q: x for q, _, _, x in reversed(of_features) if x}
     if inch is None:
-        stated = [s for s in [*title_statements(text), *of_features] if s[0] == "diagonal_mm" and s[3]]
+        stated = [s for s in [*title_statements(text), *of_features] if s[0] == "diagonal_mm" and s[3] and s[3] < MOST_MM]
         inch = round(stated[0][3] / 25.4) if stated else None
     brand = first(BRAND_NAMES, canonical.name_form)
     return {
@@ -107,6 +116,8 @@ def listing_keys(title: str | None, features: list[tuple[str, str | None]]) -> d
     }
 
 
+#: A diagonal beyond this many millimetres is a code read as metres; it gives no size for keys.
+MOST_MM = 10_000
 #: Figures that may combine to keys.
 TOLD = ("contrast", "brightness", "year", "energy", "sound", "power", "refresh")
 _COLUMNS = {
