@@ -1,14 +1,19 @@
 """Connected components and complete-linkage clusters, as repeated joins of edge tables.
 
-No group of records is ever gathered in a task: components shrink labels over
-edges, and complete linkage merges all mutually nearest clusters of a round at
-once, which gives the same clusters as merging the nearest pair one by one,
-since complete linkage never brings a merged cluster nearer to a third one
-than its parts were.
+Components shrink labels over edges.  Complete linkage never leaves a
+component; components of few pairs, their number checked, are clustered each
+by itself in a task.  In larger ones, which no task may gather, all mutually
+nearest clusters of a round merge at once by joins, which gives the same
+clusters as merging the nearest pair one by one, since complete linkage never
+brings a merged cluster nearer to a third one than its parts were.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.session import discard, durable
@@ -40,14 +45,87 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     raise RuntimeError(f"components have not settled after {most_rounds} rounds")
 
 
-def complete_linkage(distances: DataFrame, epsilon: float, nodes: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+#: Pairs of a component up to which a task clusters it by itself.
+FEW = 20_000
+
+
+def link_small(pairs: list[tuple[int, int, float]]) -> dict[int, int]:
+    """Cluster of each record by complete linkage of ``(a, b, distance)``, nearest pair first, ties by the smaller ids."""
+    near: dict[int, dict[int, float]] = {}
+    for a, b, d in pairs:
+        near.setdefault(a, {})[b] = d
+        near.setdefault(b, {})[a] = d
+    into = {x: x for x in near}
+    heap = [(d, a, b) for a, b, d in pairs]
+    heapq.heapify(heap)
+    while heap:
+        d, a, b = heapq.heappop(heap)
+        if near.get(a, {}).get(b) != d:
+            continue
+        into[b] = a
+        of_a, of_b = near.pop(a), near.pop(b)
+        for c in {*of_a, *of_b} - {a, b}:
+            near[c].pop(a, None)
+            near[c].pop(b, None)
+        merged = {c: max(x, of_b[c]) for c, x in of_a.items() if c in of_b}
+        for c, x in merged.items():
+            near[c][a] = x
+            heapq.heappush(heap, (x, min(a, c), max(a, c)))
+        near[a] = merged
+    out = {}
+    for x in into:
+        top = x
+        while into[top] != top:
+            top = into[top]
+        out[x] = top
+    return out
+
+
+def _linked_alone(edges: DataFrame) -> DataFrame:
+    """``rid, cluster_id`` of the records in ``a, b, d, label``, each label's pairs clustered by themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pairs = None, []
+
+        def done() -> pa.RecordBatch:
+            found = link_small(pairs)
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["rid", "cluster_id"])
+
+        for batch in batches:
+            for label, a, b, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if label != now and pairs:
+                    yield done()
+                    pairs = []
+                now = label
+                pairs.append((a, b, d))
+        if pairs:
+            yield done()
+
+    return edges.select("label", "a", "b", "d").repartition("label").sortWithinPartitions("label").mapInArrow(run, "rid long, cluster_id long")
+
+
+def complete_linkage(distances: DataFrame, epsilon: float, nodes: DataFrame, few: int = FEW) -> DataFrame:
     """``rid, cluster_id`` of ``nodes`` by complete linkage of ``rid_i, rid_j, dist`` below epsilon; the id is the smallest rid.
 
     A pair that is not given is infinitely far.  Ties go to the pair with the
-    smaller rids.  Null distances count as infinite.
+    smaller rids.  Null distances count as infinite.  Components of at most
+    ``few`` pairs are clustered each in a task.
     """
-    label = nodes.select("rid", F.col("rid").alias("cluster_id"))
-    edges = durable(distances.filter(F.col("dist") < epsilon).groupBy(F.least("rid_i", "rid_j").alias("a"), F.greatest("rid_i", "rid_j").alias("b")).agg(F.max("dist").alias("d")).filter("a <> b"))
+    pairs = distances.filter(F.col("dist") < epsilon).select(F.least("rid_i", "rid_j").cast("long").alias("a"), F.greatest("rid_i", "rid_j").cast("long").alias("b"), "dist")
+    edges = durable(pairs.filter("a <> b").groupBy("a", "b").agg(F.max("dist").alias("d")))
+    labels = components(both_ways(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    placed = durable(edges.join(labels.withColumnRenamed("u", "a"), "a"))
+    large = durable(placed.groupBy("label").count().filter(F.col("count") > few).select("label"))
+    alone = _linked_alone(placed.join(large, "label", "left_anti"))
+    if large.limit(1).count():
+        alone = alone.unionByName(_linked_by_rounds(placed.join(large, "label", "left_semi").select("a", "b", "d")))
+    return nodes.select("rid").join(alone, "rid", "left").select("rid", F.coalesce("cluster_id", "rid").alias("cluster_id"))
+
+
+def _linked_by_rounds(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """``rid, cluster_id`` of the records in ``a, b, d``, all mutually nearest clusters of a round merging at once."""
+    edges = durable(edges)
+    label = durable(edges.select(F.explode(F.array("a", "b")).alias("rid")).distinct().withColumn("cluster_id", F.col("rid")))
     merges: list[DataFrame] = []
     for _ in range(most_rounds):
         rank = F.struct("d", "a", "b")

@@ -24,9 +24,31 @@ def ratio(a: str | Column, b: str | Column) -> Column:
     return F.try_divide((F.col(a) if isinstance(a, str) else a).cast("double"), (F.col(b) if isinstance(b, str) else b).cast("double"))
 
 
+def found_by_class(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row as of ``found``, of all records in one class or in two classes of a pair, without naming the pairs.
+
+    ``members`` has ``rid, rep, entity_id``, ``pairs`` has ``rep_i, rep_j``.
+    """
+    cells = members.groupBy("rep", "entity_id").agg(F.count("*").alias("c"))
+    sizes = cells.groupBy("rep").agg(F.sum("c").alias("n"))
+    two = lambda c: F.expr(f"{c} * ({c} - 1) div 2")
+    total = lambda df, c: df.agg(F.coalesce(F.sum(c), F.lit(0)).alias("x"))
+    side = lambda df, s: df.select(*(F.col(c).alias(f"{c}_{s}") for c in df.columns))
+    across = pairs.join(side(sizes, "i"), "rep_i").join(side(sizes, "j"), "rep_j")
+    alike = pairs.join(side(cells, "i"), "rep_i").join(side(cells, "j"), "rep_j").filter("entity_id_i = entity_id_j")
+    comparisons = total(total(sizes, two("n")).unionByName(total(across, F.col("n_i") * F.col("n_j"))), "x")
+    dups = total(total(cells.filter("entity_id is not null"), two("c")).unionByName(total(alike, F.col("c_i") * F.col("c_j"))), "x")
+    return comparisons.withColumnRenamed("x", "comparisons").join(dups.withColumnRenamed("x", "dups_found"))  # one row each
+
+
 def pair_quality(candidates: DataFrame, records: DataFrame) -> DataFrame:
     """One row: comparisons, duplicates found and to find, PQ, PC, fraction of comparisons and F1*."""
-    both = found(candidates, records).join(to_find(records))  # one row each
+    return quality(found(candidates, records), records)
+
+
+def quality(counts: DataFrame, records: DataFrame) -> DataFrame:
+    """One row of rates from one of ``comparisons, dups_found`` and the records with their labels."""
+    both = counts.join(to_find(records))  # one row each
     rates = both.select(
         "comparisons",
         "dups_found",
@@ -38,6 +60,11 @@ def pair_quality(candidates: DataFrame, records: DataFrame) -> DataFrame:
     return rates.withColumn("f1_star", ratio(2 * F.col("pq") * F.col("pc"), F.col("pq") + F.col("pc")))
 
 
+def cluster_count(clusters: DataFrame) -> DataFrame:
+    """One row: how many clusters there are, and how many have more than one record."""
+    return clusters.groupBy("cluster_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("clusters"), F.count_if(F.col("n") > 1).alias("of_several"))
+
+
 def cluster_pairs(clusters: DataFrame, records: DataFrame) -> DataFrame:
     """One row: TP, FP, FN, precision, recall, the recall as first coded (TP over FP and FN) and F1."""
     rows = clusters.join(records.select("rid", "entity_id"), "rid")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.config import DedupConfig
+from weftline.session import spread
 
 
 def affine(x: Column, a: int, b: int, prime: int) -> Column:
@@ -25,7 +26,7 @@ def affine_hashes(vocab: DataFrame, config: DedupConfig) -> DataFrame:
 def signatures(vectors: DataFrame, config: DedupConfig) -> DataFrame:
     """``rid, sig``: per permutation the word that comes last (or first); ``empty_value`` throughout for no word.
 
-    Row-local, no exchange.  All permutations of a row are placed at once in
+    Row-local.  All permutations of a row are placed at once in
     64-bit arithmetic; as an expression they would be worked out again for
     every band that reads them.
     """
@@ -47,7 +48,7 @@ def signatures(vectors: DataFrame, config: DedupConfig) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sigs), pa.int64()))], names=["rid", "sig"])
 
     rid = vectors.schema["rid"].dataType.simpleString()
-    return rows.select("rid", F.col("word_ids").cast("array<long>")).mapInArrow(run, f"rid {rid}, sig array<long>")
+    return spread(rows.select("rid", F.col("word_ids").cast("array<long>"))).mapInArrow(run, f"rid {rid}, sig array<long>")
 
 
 def bands(sigs: DataFrame, config: DedupConfig) -> DataFrame:
@@ -57,6 +58,18 @@ def bands(sigs: DataFrame, config: DedupConfig) -> DataFrame:
     return sigs.select("rid", F.posexplode(buckets).alias("band", "bucket"))
 
 
+def vector_classes(vectors: DataFrame, block: DataFrame | None = None) -> DataFrame:
+    """``rid, rep, word_ids`` and, with a ``block`` (``rid, block``), ``block``: rep is the smallest rid with the same words and block.
+
+    Records of one class have one signature, so classes rather than records
+    meet in the buckets.
+    """
+    rows, keys = vectors.select("rid", "word_ids"), ["word_ids"]
+    if block is not None:
+        rows, keys = rows.join(block, "rid"), ["word_ids", "block"]
+    return rows.join(rows.groupBy(*keys).agg(F.min("rid").alias("rep")), keys)
+
+
 def candidates(buckets: DataFrame, block: DataFrame | None = None) -> DataFrame:
     """Distinct ``rid_i, rid_j`` (i < j) that share a bucket.
 
@@ -68,3 +81,22 @@ def candidates(buckets: DataFrame, block: DataFrame | None = None) -> DataFrame:
         buckets, keys = buckets.join(block, "rid"), [*keys, "block"]
     left, right = buckets.withColumnRenamed("rid", "rid_i"), buckets.withColumnRenamed("rid", "rid_j")
     return left.join(right, keys).filter("rid_i < rid_j").select("rid_i", "rid_j").distinct()
+
+
+def class_candidates(classes: DataFrame, config: DedupConfig) -> DataFrame:
+    """Distinct ``rep_i, rep_j`` (i < j) of the classes that share a bucket, in one block where the classes have one."""
+    reps = classes.filter("rid = rep")
+    block = reps.select("rid", "block") if "block" in classes.columns else None
+    return candidates(bands(signatures(reps, config), config), block).select(F.col("rid_i").alias("rep_i"), F.col("rid_j").alias("rep_j"))
+
+
+def class_members(classes: DataFrame, pairs: DataFrame, config: DedupConfig) -> DataFrame:
+    """``rid_i, rid_j`` (i < j) of all records in one class or in two classes of a pair.
+
+    With ``drop_empty`` records without a word are in no pair.
+    """
+    rows = classes.filter(F.size("word_ids") > 0) if config.drop_empty else classes
+    side = lambda s: rows.select(F.col("rep").alias(f"rep_{s}"), F.col("rid").alias(s))
+    same = side("i").join(side("j"), F.col("rep_i") == F.col("rep_j")).filter("i < j").select("i", "j")
+    other = pairs.join(side("i"), "rep_i").join(side("j"), "rep_j").select("i", "j")
+    return same.unionByName(other).select(F.least("i", "j").alias("rid_i"), F.greatest("i", "j").alias("rid_j"))

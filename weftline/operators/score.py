@@ -2,7 +2,7 @@
 
 All parts of a pair's score are expressions over one row, which holds both
 records' cleaned titles and key-value lists; the only joins bring these to the
-pair.  Scoring is bound by CPU, so AQE deals the pairs to tasks of even size first.
+pair.  Scoring is bound by CPU, so the pairs are dealt evenly to tasks first, as many as they need.
 """
 
 from __future__ import annotations
@@ -16,13 +16,19 @@ from weftline.operators.tokens import key_values
 from weftline.session import durable
 
 
+#: Pairs that a task scores, about.
+PAIRS = 50_000
+
+
 def paired(candidates: DataFrame, records: DataFrame) -> DataFrame:
     """Candidates with ``title``, ``kv`` (names and values with their grams) and ``words`` of both sides."""
     kv = key_values(records).join(records.select("rid", "title"), "rid")
     grams = F.transform("kv", lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), qgrams(e["key"]).alias("kg"), qgrams(e["value"]).alias("vg")))
     side = kv.select("rid", F.coalesce("title", F.lit("")).alias("title"), grams.alias("kv"), mixed_tokens(F.transform("kv", lambda e: e["value"])).alias("words"))
     named = lambda s: side.select(*(F.col(c).alias(f"{c}_{s}") for c in side.columns))
-    return candidates.join(named("i"), "rid_i").join(named("j"), "rid_j").hint("rebalance")
+    pairs = durable(candidates)
+    tasks = max(candidates.sparkSession.sparkContext.defaultParallelism, pairs.count() // PAIRS)
+    return pairs.join(named("i"), "rid_i").join(named("j"), "rid_j").repartition(tasks)
 
 
 def key_matches(pairs: DataFrame, gamma: float) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.config import DedupConfig
+from weftline.functions import strings as S
 from weftline.operators import blocking, cluster, evaluate, minhash, score, tokens, vectors
 from weftline.session import durable
 from weftline.sources.records import gather, ordinals, sample_rows
@@ -21,21 +23,23 @@ class Result:
     metrics: DataFrame
 
 
-def word_sets(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cleaned records, their vocabulary and their vectors."""
+def word_sets(records: DataFrame, whole: Sequence[str] = S.WHOLE_VALUES, first: Sequence[str] = S.FIRST_TOKENS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cleaned records, their vocabulary and their vectors; ``whole`` and ``first`` name the features that give words."""
     cleaned = tokens.clean(records)
-    vocab = tokens.vocabulary(tokens.title_words(cleaned).unionByName(tokens.feature_words(cleaned)))
+    vocab = tokens.vocabulary(tokens.title_words(cleaned).unionByName(tokens.feature_words(cleaned, whole, first)))
     return cleaned, vocab, vectors.binary_vectors(cleaned, vocab)
 
 
 def candidate_pairs(vector_rows: DataFrame, config: DedupConfig, block: DataFrame | None = None) -> DataFrame:
-    return minhash.candidates(minhash.bands(minhash.signatures(vector_rows, config), config), block)
+    """``rid_i, rid_j`` that share a bucket; records with the same words meet once."""
+    classes = durable(minhash.vector_classes(vector_rows, block))
+    return minhash.class_members(classes, minhash.class_candidates(classes, config), config)
 
 
-def find_duplicates(records: DataFrame, brands: DataFrame, config: DedupConfig | None = None) -> Result:
+def find_duplicates(records: DataFrame, brands: DataFrame, config: DedupConfig | None = None, whole: Sequence[str] = S.WHOLE_VALUES, first: Sequence[str] = S.FIRST_TOKENS) -> Result:
     """Candidates of equal brand, their distances, complete-linkage clusters and one row of metrics."""
     config = config or DedupConfig()
-    cleaned, _, vecs = word_sets(records)
+    cleaned, _, vecs = word_sets(records, whole, first)
     brand = blocking.extract_brand(cleaned, brands).select("rid", F.col("brand").alias("block"))
     vecs = durable(vecs)
     pairs = durable(candidate_pairs(vecs, config, brand))
@@ -45,24 +49,36 @@ def find_duplicates(records: DataFrame, brands: DataFrame, config: DedupConfig |
     return Result(pairs, distances, clusters, metrics)
 
 
-def metrics_by_rows(records: DataFrame, config: DedupConfig, rows: tuple[int, ...]) -> DataFrame:
-    """Candidate metrics for each number of rows per band, as rows ``r, ...``."""
-    vecs = durable(word_sets(records)[2])
-    parts = [evaluate.pair_quality(candidate_pairs(vecs, replace(config, rows=r)), records).select(F.lit(r).alias("r"), "*") for r in rows]
+def metrics_by_rows(vecs: DataFrame, records: DataFrame, config: DedupConfig, rows: Sequence[int]) -> DataFrame:
+    """Candidate metrics for each number of rows per band, as rows ``r, ...``, of vectors and labelled records.
+
+    Pairs are counted by class, not named: at one row per band nearly all
+    records are compared.
+    """
+    classes = durable(minhash.vector_classes(vecs))
+    members = classes.join(records.select("rid", "entity_id"), "rid").select("rid", "rep", "entity_id")
+    members = durable(members.join(classes.filter(F.size("word_ids") > 0).select("rid"), "rid", "left_semi") if config.drop_empty else members)
+    sigs = durable(minhash.signatures(classes.filter("rid = rep"), config))
+    parts = []
+    for r in rows:
+        near = minhash.candidates(minhash.bands(sigs, replace(config, rows=r))).select(F.col("rid_i").alias("rep_i"), F.col("rid_j").alias("rep_j"))
+        parts.append(evaluate.quality(evaluate.found_by_class(members, durable(near)), records).select(F.lit(r).alias("r"), "*"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def bootstrap_metrics(records: DataFrame, config: DedupConfig, rows: tuple[int, ...], repeats: int) -> DataFrame:
+def bootstrap_metrics(records: DataFrame, vecs: DataFrame, config: DedupConfig, rows: Sequence[int], repeats: int) -> DataFrame:
     """Means over bootstrap samples of the candidate metrics per number of rows, F1* of the means.
 
-    Every repeat draws its own sample of as many records as there are.
+    ``vecs`` are the vectors of all records, so the vocabulary is that of the
+    whole collection.  Every repeat draws its own sample of as many records as
+    there are, with its own permutations.
     """
-    numbered = durable(ordinals(records, "rid", name="prod_idx"))
+    numbered = durable(ordinals(records.select("rid", "entity_id").join(vecs, "rid"), "rid", name="prod_idx"))
     n = numbered.count()
     parts = []
     for k in range(repeats):
-        sample = gather(numbered, sample_rows(n, config.seed + k, records.sparkSession))
-        parts.append(metrics_by_rows(durable(sample.drop("prod_idx")), replace(config, seed=config.seed + k), rows).withColumn("bootstrap", F.lit(k)))
+        sample = durable(gather(numbered, sample_rows(n, config.seed + k, records.sparkSession)))
+        parts.append(metrics_by_rows(sample.select("rid", "word_ids"), sample.select("rid", "entity_id"), replace(config, seed=config.seed + k), rows))
     means = reduce(DataFrame.unionByName, parts).groupBy("r").agg(*(F.avg(c).alias(c) for c in ("comparisons", "dups_found", "dups_to_find", "pq", "pc", "fraction")))
     return means.withColumn("f1_star", evaluate.ratio(2 * F.col("pq") * F.col("pc"), F.col("pq") + F.col("pc")))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -12,12 +11,12 @@ from weftline.functions import similarity as sim, strings as S
 from weftline.operators import blocking, cluster, evaluate, minhash, score, tokens, vectors
 from weftline.plans import pipeline
 from weftline.session import durable, table
-from weftline.sources.records import from_parts, sample_rows
+from weftline.sources.records import flatten_catalogue, from_parts, gather, ordinals, sample_rows
 
 #: The operator's own settings, with all hashes; the SQL follows them.
 CONFIG = DedupConfig()
-#: Of metrics_by_rows alone, whose SQL holds only where every number of rows divides n; metrics_by_rows_full has all hashes.
-SHORT = DedupConfig(n=16, rows=2)
+#: Rows per band and bootstrap repeats of the metrics.
+GRID, REPEATS = tuple(range(1, 11)), 5
 #: Features of the parts records that give words to the vocabulary.
 WHOLE, FIRST = ("Size", "Weight"), ("Type",)
 
@@ -44,13 +43,13 @@ def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.candidates(minhash.bands(_signatures(spark, sf_dir), CONFIG))
+    return pipeline.candidate_pairs(_vectors(spark, sf_dir), CONFIG)
 
 
 def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct brands of the parts, in order of their text."""
     names = table(spark, sf_dir, "part").select(F.lower("p_brand").alias("brand")).filter("brand is not null").distinct()
-    return names.select(F.row_number().over(Window.orderBy("brand")).alias("brand_pos"), "brand")  # a lexicon of some dozen entries
+    return ordinals(names, "brand", name="brand_pos").select("brand_pos", "brand")
 
 
 def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +78,7 @@ def _six(c, name: str):
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    distances = _distances(spark, sf_dir).select("rid_i", "rid_j", F.round("dist", 9).alias("dist"))
+    distances = _distances(spark, sf_dir).select("rid_i", "rid_j", F.round("dist", 6).alias("dist"))
     return cluster.complete_linkage(distances, CONFIG.epsilon, _records(spark, sf_dir).select("rid"))
 
 
@@ -127,8 +126,7 @@ def bootstrap_sample(spark, sf_dir):
     products = _records(spark, sf_dir)
     n = products.count()
     numbered = products.withColumn("prod_idx", F.col("rid"))  # parts are numbered from 0
-    sample = sample_rows(n, 1, spark).join(numbered.select("prod_idx", "entity_id"), "prod_idx")
-    return sample.select("rid", "prod_idx", "entity_id")
+    return gather(numbered, sample_rows(n, 1, spark)).select("rid", "prod_idx", "entity_id", "title")
 
 
 def qgram_similarity(spark, sf_dir):
@@ -177,16 +175,6 @@ def components(spark, sf_dir):
     return cluster.components(cluster.both_ways(near)).select(F.col("u").alias("rid"), "label")
 
 
-def embedding_linkage(spark, sf_dir):
-    """Complete linkage of the vectors of one label by cosine distance below 0.6."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    i, j = e.select("label", F.col("vec_id").alias("rid_i"), F.col("v").alias("a")), e.select("label", F.col("vec_id").alias("rid_j"), F.col("v").alias("b"))
-    pairs = i.join(j, "label").filter("rid_i < rid_j")
-    dist = pairs.select("rid_i", "rid_j", (1 - F.try_divide(dot(F.col("a"), F.col("b")), F.sqrt(dot(F.col("a"), F.col("a")) * dot(F.col("b"), F.col("b"))))).alias("dist"))
-    return cluster.complete_linkage(dist, 0.6, e.select(F.col("vec_id").alias("rid")))
-
-
 def cluster_members(spark, sf_dir):
     return cluster.members(_clusters(spark, sf_dir), _records(spark, sf_dir)).select("cluster_id", F.size("entity_ids").alias("n"), F.array_join("entity_ids", ",").alias("entity_ids"))
 
@@ -199,20 +187,44 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def _by_rows(spark: SparkSession, sf_dir: str, config: DedupConfig, rows: tuple[int, ...]) -> DataFrame:
-    vecs = durable(_vectors(spark, sf_dir))
-    records = _records(spark, sf_dir)
-    parts = [evaluate.pair_quality(pipeline.candidate_pairs(vecs, replace(config, rows=r)), records).select(F.lit(r).alias("r"), "*") for r in rows]
-    return _rounded(reduce(DataFrame.unionByName, parts))
+def metrics_by_rows(spark, sf_dir):
+    return _rounded(pipeline.metrics_by_rows(_vectors(spark, sf_dir), _records(spark, sf_dir), CONFIG, GRID))
+
 
+def bootstrap_metrics(spark, sf_dir):
+    """The whole grid: means over the bootstrap samples for every number of rows per band; without SQL."""
+    return _rounded(pipeline.bootstrap_metrics(_records(spark, sf_dir), _vectors(spark, sf_dir), CONFIG, GRID, REPEATS))
 
-def metrics_by_rows(spark, sf_dir):
-    return _by_rows(spark, sf_dir, SHORT, (2, 4, 8))
+
+def flatten_records(spark, sf_dir):
+    """Nested catalogues, one file a part, flattened to records."""
+    parts = table(spark, sf_dir, "part").select(F.format_string("%012d", "p_partkey").alias("file"), "p_brand", "p_name", F.col("p_size").cast("string").alias("size"), "p_type")
+    product = F.struct(F.col("p_name").alias("title"), F.col("size"), F.create_map(F.lit("Type"), F.col("p_type"), F.lit("Size"), F.col("size")).alias("featuresMap"))
+    text = parts.select("file", F.to_json(F.create_map("p_brand", F.array(product, product))).alias("value"))
+    flat = flatten_catalogue(text)
+    return flat.select("rid", "entity_id", "title", F.col("attrs")["size"].alias("size"), F.col("features")["Type"].alias("type"), F.size("features").alias("n_features"))
+
+
+def find_duplicates(spark, sf_dir):
+    """The whole search in one: metrics of its candidates and of its clusters."""
+    res = pipeline.find_duplicates(_records(spark, sf_dir), _lexicon(spark, sf_dir), CONFIG, WHOLE, FIRST)
+    return _rounded(res.metrics)
+
+
+def pair_distance_as_written(spark, sf_dir):
+    """Distances under ``score_mode="as_written"``, 0 for every candidate of one brand."""
+    return score.pair_distance(_blocked(spark, sf_dir), _clean(spark, sf_dir), replace(CONFIG, score_mode="as_written"))
+
+
+def lsh_bands_undelimited(spark, sf_dir):
+    """Bucket names without delimiter, under which different bands of values may fall together."""
+    return minhash.bands(_signatures(spark, sf_dir), replace(CONFIG, delimiter=""))
 
 
-def metrics_by_rows_full(spark, sf_dir):
-    """All hashes and all numbers of rows per band from 1 to 10; without SQL."""
-    return _by_rows(spark, sf_dir, CONFIG, tuple(range(1, 11)))
+def minhash_empty_records(spark, sf_dir):
+    """Signatures where every third record has no word, which all get the empty value."""
+    vecs = _vectors(spark, sf_dir).withColumn("word_ids", F.when(F.col("rid") % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.col("word_ids")))
+    return minhash.signatures(vecs, CONFIG).select("rid", F.array_join("sig", "-").alias("sig"))
 
 
 QUERIES = {
@@ -255,11 +267,16 @@ QUERIES = {
     "normal_distances": lambda s, d: score.normal_distances(pair_distance(s, d)),
     "components": components,
     "complete_linkage": _clusters,
-    "embedding_linkage": embedding_linkage,
     "cluster_members": cluster_members,
     "cluster_pair_counts": cluster_pair_counts,
     "metrics_by_rows": metrics_by_rows,
-    "metrics_by_rows_full": metrics_by_rows_full,
+    "bootstrap_metrics": bootstrap_metrics,
+    "cluster_count": lambda s, d: evaluate.cluster_count(_clusters(s, d)),
+    "find_duplicates": find_duplicates,
+    "flatten_records": flatten_records,
+    "pair_distance_as_written": pair_distance_as_written,
+    "lsh_bands_undelimited": lsh_bands_undelimited,
+    "minhash_empty_records": minhash_empty_records,
     "top_similar": lambda s, d: pipeline.top_similar(pair_distance(s, d), 3).select("rid", "partner", "dist", "place"),
 }
 
@@ -297,7 +314,7 @@ def _sql(config: DedupConfig) -> dict[str, str]:
         "sig": f"select ct.rid, hash_no, coalesce(w, {config.empty_value}) w from ct cross join coef left join sig1 using (rid, hash_no)",
         "bk": f"select rid, hash_no // {r} band, string_agg(w::varchar, '{config.delimiter}' order by hash_no) bucket from sig where hash_no < {r * nb} group by rid, hash_no // {r}",
         "cand": "select distinct x.rid rid_i, y.rid rid_j from bk x join bk y on x.band = y.band and x.bucket = y.bucket and x.rid < y.rid",
-        "lex": "select row_number() over (order by brand) brand_pos, brand from (select distinct lower(p_brand) brand from part where p_brand is not null)",
+        "lex": "select row_number() over (order by brand) - 1 brand_pos, brand from (select distinct lower(p_brand) brand from part where p_brand is not null)",
         "br": "select ct.rid, coalesce(max_by(brand, brand_pos), '') brand from ct left join lex on contains(title, brand) group by ct.rid",
         "blk": "select rid_i, rid_j from cand join br x on x.rid = rid_i join br y on y.rid = rid_j where x.brand = y.brand",
         "gkv": f"select rid, pos, key, value, {grams('key')} kg, {grams('value')} vg from kv",
@@ -329,9 +346,10 @@ def _sql(config: DedupConfig) -> dict[str, str]:
             bool_or({nld('ax', 'ay')} < 0.5) as close, count(distinct dx) > 1 or count(distinct dy) > 1 or bool_or(dx <> dy) differ from wp group by all) using (rid_i, rid_j)""",
         "tms": f"""select rid_i, rid_j, case when cosine > {config.alpha} then 1.0 when clash then -1.0 when similarity > 0 then {config.delta} * similarity + {1 - config.delta} * s else s end similarity
             from (select *, {config.beta} * cosine + {1 - config.beta} * (1 - {nld('title_i', 'title_j')}) s from pr join cosn using (rid_i, rid_j) join mlv using (rid_i, rid_j))""",
+        "mf": "select rid_i, rid_j, least(a.n, b.n) n from blk join (select rid, count(*) n from kv group by rid) a on a.rid = rid_i join (select rid, count(*) n from kv group by rid) b on b.rid = rid_j",
         "dist": f"""select rid_i, rid_j, round(1 - case when t = -1 then share * avg_sim + (1 - share) * overlap
             else {1 - config.mu} * share * avg_sim + ({1 - config.mu} - {1 - config.mu} * share) * overlap + {config.mu} * t end, 6) dist
-            from (select rid_i, rid_j, m::double / 5 share, avg_sim, overlap, tms.similarity t from avgs join rest using (rid_i, rid_j) join tms using (rid_i, rid_j))""",
+            from (select rid_i, rid_j, m::double / n share, avg_sim, overlap, tms.similarity t from avgs join mf using (rid_i, rid_j) join rest using (rid_i, rid_j) join tms using (rid_i, rid_j))""",
         "pq0": "select count(*) comparisons, count(*) filter (where x.entity_id = y.entity_id) dups_found from cand join rec x on x.rid = rid_i join rec y on y.rid = rid_j",
         "tf": "select sum(c)::bigint records, sum(c * (c - 1) // 2)::bigint dups_to_find from (select count(*) c from rec group by entity_id)",
     }
@@ -355,12 +373,29 @@ def _sql(config: DedupConfig) -> dict[str, str]:
         / nullif(dups_found / nullif(comparisons, 0)::double + dups_found / nullif(dups_to_find, 0)::double, 0), 6) f1_star"""
 
     def banded(rows: int) -> str:
+        """Metrics with so many rows per band; hashes beyond the last whole band are unused."""
+        width = config.n // (config.n // rows)
+        bucket = f"(select rid, hash_no // {width} band, string_agg(w::varchar, '-' order by hash_no) bucket from sig where hash_no < {width * (config.n // rows)} group by all)"
         return (
-            f"select {rows} r, {quality} from (select count(*) comparisons, count(*) filter (where x.entity_id = y.entity_id) dups_found from (select distinct x.rid rid_i, y.rid rid_j from bk{rows} x "
-            f"join bk{rows} y on x.band = y.band and x.bucket = y.bucket and x.rid < y.rid) join rec x on x.rid = rid_i join rec y on y.rid = rid_j), tf"
+            f"select {rows} r, {quality} from (select count(*) comparisons, count(*) filter (where x.entity_id = y.entity_id) dups_found from (select distinct x.rid rid_i, y.rid rid_j from {bucket} x "
+            f"join {bucket} y on x.band = y.band and x.bucket = y.bucket and x.rid < y.rid) join rec x on x.rid = rid_i join rec y on y.rid = rid_j), tf"
         )
 
-    bks = ", ".join(f"bk{k} as (select rid, hash_no // {k} band, string_agg(w::varchar, '-' order by hash_no) bucket from sig group by rid, hash_no // {k})" for k in (2, 4, 8))
+    # each round merges every two clusters that are nearest to each other; a pair of clusters counts if all their pairs of records are given
+    linkage = f"""near as (select least(rid_i, rid_j) a, greatest(rid_i, rid_j) b, max(dist) d from dist where dist < {config.epsilon} group by all),
+        st(it, rid, c) as (select 0, rid, rid from rec union all (with sizes as (select c, count(*) k from st group by c),
+            pd as (select least(x.c, y.c) a, greatest(x.c, y.c) b, max(d) d, count(*) n from near join st x on x.rid = near.a join st y on y.rid = near.b where x.c <> y.c group by all),
+            full_ as (select a, b, d from pd join sizes s on s.c = a join sizes t on t.c = b where n = s.k * t.k),
+            best as (select c, min({{'d': d, 'a': a, 'b': b}}) r from (select a c, * from full_ union all select b, * from full_) group by c),
+            mutual as (select r.b c, r.a into_ from best group by r having count(*) = 2)
+            select it + 1, rid, coalesce(into_, st.c) from st left join mutual on mutual.c = st.c where exists (from mutual))),
+        cl as (select rid, c cluster_id from st where it = (select max(it) from st)) """
+    clustered = upto("dist", "rec", "tf").replace("with ", "with recursive ", 1).rstrip() + ", " + linkage
+    counted = """, pc as (select sum(c * (c - 1) // 2) filter (where entity_id is not null) tp from (select cluster_id, entity_id, count(*) c from cl join rec using (rid) group by all)),
+        ps as (select sum(c * (c - 1) // 2) p from (select count(*) c from cl group by cluster_id)), ct3 as (select tp::bigint tp, (p - tp)::bigint fp, (dups_to_find - tp)::bigint fn from pc, ps, tf)
+        """
+    cluster_rates = """tp, fp, fn, round(tp / nullif(tp + fp, 0)::double, 6) as precision, round(tp / nullif(tp + fn, 0)::double, 6) recall, round(tp / nullif(fp + fn, 0)::double, 6) recall_as_written,
+        round(2 * (tp / nullif(tp + fp, 0)::double) * (tp / nullif(tp + fn, 0)::double) / nullif(tp / nullif(tp + fp, 0)::double + tp / nullif(tp + fn, 0)::double, 0), 6) f1"""
     mask = (1 << 32) - 1
     return {
         "clean_titles": upto("ct") + "select rid, title from ct",
@@ -388,7 +423,7 @@ def _sql(config: DedupConfig) -> dict[str, str]:
         "bootstrap_sample": upto("rec")
         + f""", n as (select count(*) n from rec), d as (select range rid, (range * 2654435761 + {40503 % mask}) & {mask} h from range((select n from n)))
             , e as (select rid, (xor(h, h >> 16) * 73244475) & {mask} h from d), g as (select rid, ((xor(h, h >> 16) * 73244475) & {mask}) % (select n from n) prod_idx from e)
-            select g.rid, prod_idx, entity_id from g join rec on rec.rid = prod_idx""",
+            select g.rid, prod_idx, entity_id, title from g join rec on rec.rid = prod_idx""",
         "brand_extract": upto("br") + "select rid, brand from br",
         "brand_block": upto("blk") + "select rid_i, rid_j from blk",
         "qgram_similarity": f"""with w as (select distinct p_name, unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', -1)]) w from part where p_name is not null),
@@ -398,7 +433,7 @@ def _sql(config: DedupConfig) -> dict[str, str]:
             where other is not null""",
         "mw_overlap": upto("pr")
         + """select rid_i, rid_j, round(case when len(words_i) > 0 and len(words_j) > 0 then list_sum(list_transform(words_i, lambda x: len(list_filter(words_j, lambda y: y = x))))::double / len(words_i) else 0.0 end, 6) overlap from pr""",
-        "min_features": upto("blk") + "select rid_i, rid_j, 5 min_features from blk",
+        "min_features": upto("mf") + "select rid_i, rid_j, n::int min_features from mf",
         "mw_levenshtein": upto("mlv") + "select rid_i, rid_j, round(similarity, 6) similarity from mlv",
         "title_cosine": upto("cosn") + "select rid_i, rid_j, round(cosine, 6) cosine from cosn",
         "title_mw_similarity": upto("tms") + "select rid_i, rid_j, round(similarity, 6) similarity from tms",
@@ -412,11 +447,23 @@ def _sql(config: DedupConfig) -> dict[str, str]:
         "components": upto("dist").replace("with ", "with recursive ", 1)
         + f""", e as (select rid_i u, rid_j v from dist where dist < {config.epsilon} union select rid_j, rid_i from dist where dist < {config.epsilon}),
             reach(u, l) as (select u, u from e union select e.v, reach.l from reach join e using (u)) select u rid, min(l) label from reach group by u""",
-        "metrics_by_rows": upto("sig", "tf", "rec") + ", " + bks + " " + " union all ".join(banded(k) for k in (2, 4, 8)),
+        "metrics_by_rows": upto("sig", "tf", "rec") + " union all ".join(f"({banded(k)})" for k in GRID),
+        "complete_linkage": clustered + "select rid, cluster_id from cl",
+        "cluster_members": clustered + "select cluster_id, count(*)::int n, string_agg(entity_id, ',' order by rid) entity_ids from cl join rec using (rid) group by cluster_id",
+        "cluster_pair_counts": clustered + counted + f"select {cluster_rates} from ct3",
+        "cluster_count": clustered + "select count(*) clusters, count(*) filter (where n > 1) of_several from (select count(*) n from cl group by cluster_id)",
+        "find_duplicates": clustered
+        + counted
+        + f""", bq as (select count(*) comparisons, count(*) filter (where x.entity_id = y.entity_id) dups_found from blk join rec x on x.rid = rid_i join rec y on y.rid = rid_j)
+            select {quality}, {cluster_rates} from bq, tf, ct3""",
+        "flatten_records": """select row_number() over (order by p_partkey, i) - 1 rid, p_brand entity_id, p_name title, p_size::varchar size, p_type "type", 2 n_features from part, range(2) t(i)""",
+        "pair_distance_as_written": upto("blk") + "select rid_i, rid_j, 0.0::double dist from blk",
+        "lsh_bands_undelimited": upto("bk").replace(f"string_agg(w::varchar, '{config.delimiter}'", "string_agg(w::varchar, ''") + "select rid, band, bucket from bk",
+        "minhash_empty_records": upto("sig") + f"select rid, string_agg((case when rid % 3 = 0 then {config.empty_value} else w end)::varchar, '-' order by hash_no) sig from sig group by rid",
         "top_similar": upto("dist")
         + """, b as (select rid_i rid, rid_j partner, dist from dist union all select rid_j, rid_i, dist from dist)
             select rid, partner, dist, place from (select *, row_number() over (partition by rid order by dist, partner) place from b) where place <= 3""",
     }
 
 
-ORACLE = {**_sql(CONFIG), "metrics_by_rows": _sql(SHORT)["metrics_by_rows"]}
+ORACLE = _sql(CONFIG)
