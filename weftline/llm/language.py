@@ -10,7 +10,6 @@ block.
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -24,9 +23,9 @@ BITS = 15  # hashed n-grams: 2**BITS buckets
 SAMPLE = 1500
 #: Loss by which the nearest language must lead the next; else a text is ambiguous.
 GAP = 6.0
-#: Loss by which a block must be nearer to another language than to its document's main one, and the bytes it must have.
-#: Shorter blocks hold names, numbers and single words of a form rather than sentences.
-FOREIGN_GAP, FOREIGN_BYTES = 100.0, 45
+#: Loss by which a block must be nearer to another language than to its document's main one: the odds, as a logarithm, against a
+#: change of language within a document.  The same for every length; where less speaks for the other language the block is flagged.
+FOREIGN_GAP = 100.0
 #: Bytes scored at once.
 WINDOW = 1 << 19
 
@@ -77,13 +76,14 @@ def codewords(n: int) -> np.ndarray:
     length = max(10, math.ceil(4 * math.log2(max(n, 2))))
     rng = np.random.default_rng(7)
     best, far = None, (-1, -1.0)
-    for _ in range(2000):
+    for _ in range(2000 if n <= 200 else 50):
         code = rng.integers(0, 2, (n, length)) * 2 - 1
         if n > 1 and (np.abs(code.sum(axis=0)) == n).any():
             continue
-        apart = [int((a != b).sum()) for a, b in itertools.combinations(code, 2)] or [0]
-        if (min(apart), float(np.mean(apart))) > far:
-            best, far = code, (min(apart), float(np.mean(apart)))
+        f = code.astype(np.float32)
+        apart = ((length - f @ f.T) / 2)[np.triu_indices(n, 1)] if n > 1 else np.zeros(1)
+        if (int(apart.min()), float(apart.mean())) > far:
+            best, far = code, (int(apart.min()), float(apart.mean()))
     return best.astype(np.float64)
 
 
@@ -198,7 +198,7 @@ def segments(documents: DataFrame, model: Model) -> DataFrame:
     bytes (a tie goes to the language first in order), ``confidence`` the
     softmax of the losses tempered by the text's length, and ``ambiguous``
     says that a second language lies within GAP.  A block gets the main language
-    unless it has FOREIGN_BYTES and another is nearer by FOREIGN_GAP.  Null, empty and blank texts give no rows.
+    unless another is nearer by FOREIGN_GAP; one that is nearer by less is ``ambiguous``.  Null, empty and blank texts give no rows.
     """
     codes = model.languages
 
@@ -242,14 +242,14 @@ def _rows(batch: pa.RecordBatch, model: Model, codes: list[str], data: np.ndarra
     np.add.at(together, doc, loss)
     bytes_of = np.bincount(doc, weights=length, minlength=len(batch))
     main = np.where(sizes.max(axis=1) > 0, sizes.argmax(axis=1), together.argmin(axis=1))
-    shown = np.where(clear & (length >= FOREIGN_BYTES) & (loss[np.arange(len(doc)), main[doc]] - two[:, 0] > FOREIGN_GAP), best, main[doc])
+    shown = np.where(clear & (loss[np.arange(len(doc)), main[doc]] - two[:, 0] > FOREIGN_GAP), best, main[doc])
     there = np.unique(doc)
     names = np.array(codes, dtype=object)
     ids, labels = batch.column(0), batch.column(1)
     share = sizes[there].max(axis=1) / np.maximum(bytes_of[there], 1)
     for at, numbers, lang, sure, doubt, size in (
         (there, np.zeros(len(there)), main[there], _confidence(together[there], bytes_of[there]), share <= 0.5, bytes_of[there]),
-        (doc, no, shown, _confidence(loss, length), ~clear, length),
+        (doc, no, shown, _confidence(loss, length), ~clear | (shown != best), length),
     ):
         take = pa.array(at)
         yield pa.RecordBatch.from_arrays(

@@ -2,8 +2,8 @@
 
 Compatibility forms (full-width and joined letters), separate accents, odd
 blanks and hyphens and ignorable characters follow rules.  Letters of another
-alphabet inside a Latin word are found by a search: every letter of the word
-opens the alternatives it looks like, and the path through this lattice with
+alphabet inside a word are found by a search: every letter of the word
+opens all the alternatives it looks like, and the path through this lattice with
 the best score under script-consistent character bigrams gives the word.  The
 bigrams are counted over all texts of the corpus.
 """
@@ -27,6 +27,14 @@ SWITCH = 12.0
 #: Cost of reading a letter as one it only looks like.
 CHANGE = 1.0
 
+#: What each letter may be read as: look-alikes of the table, both ways.
+READINGS: dict[str, str] = dict(LOOK_ALIKES)
+for _ch, _latin in LOOK_ALIKES.items():
+    if 0x370 <= ord(_ch) < 0x530:  # Latin letters are strays only in Greek and Cyrillic words
+        for _to in _latin:
+            if _to.isalpha():
+                READINGS[_to] = READINGS.get(_to, "") + _ch
+
 
 def script(ch: str) -> str:
     """L, C, G for Latin, Cyrillic and Greek letters, O for other letters, empty for the rest."""
@@ -42,6 +50,10 @@ def script(ch: str) -> str:
     return "C" if 0x400 <= code < 0x530 else "O"
 
 
+# Marks that stand for themselves: copyright and trade marks, spacing accents.
+KEPT = frozenset("©®™℠℗¨¯´¸")
+
+
 class _Kinds(dict):
     """Code point to (is it in place of an ordinary character, what replaces it)."""
 
@@ -57,8 +69,10 @@ class _Kinds(dict):
             out = (True, "-")
         elif kind == "Mn" and 0x300 <= code < 0x370:
             out = (True, ch)  # composed with its letter afterwards
-        elif tag in ("wide", "narrow", "font", "initial", "medial", "final", "isolated") or tag == "compat" and "LIGATURE" in unicodedata.name(ch, ""):
+        elif tag in ("wide", "narrow", "font", "initial", "medial", "final", "isolated", "square") or tag == "compat" and (kind == "Nl" or "LIGATURE" in unicodedata.name(ch, "")):
             out = (True, unicodedata.normalize("NFKC", ch))
+        elif tag in ("compat", "fraction", "circle") and ch not in KEPT:
+            out = (False, unicodedata.normalize("NFKC", ch).replace("\u2044", "/"))
         else:
             out = (False, ch)
         self[code] = out
@@ -106,8 +120,7 @@ def best_word(word: str, score: Bigrams) -> str:
     layer = {("", "^"): (0.0, "")}  # (alphabet so far, last letter): (cost, reading)
     for ch in word:
         options = [(ch, 0.0)]
-        if (other := LOOK_ALIKES.get(ch)) is not None:
-            options.append((other, CHANGE))
+        options.extend((other, CHANGE) for other in READINGS.get(ch, ""))
         nxt: dict = {}
         for (alphabet, last), (cost, read) in layer.items():
             for to, extra in options:
@@ -152,7 +165,7 @@ def one_form(text: str | None, score: Bigrams, memo: dict | None = None) -> tupl
                     memo.clear()
                 memo[w] = best_word(w, score)
             new = memo[w]
-        hit = hit or new != w
+        hit = hit or new != w and any(script(c) == "L" for c in new)
         return new
 
     return WORD.sub(fix, out), hit

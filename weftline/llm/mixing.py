@@ -21,8 +21,12 @@ from weftline.llm import encode
 from weftline.llm.language import Model, _count
 from weftline.session import durable
 
+#: Sources that a mixture may have: the driver holds a sum per source and hash bucket.
+MOST_SOURCES = 500
 #: Labelled documents in the classifier's sample, about; at most twice as many are ever collected.
 SAMPLE = 1500
+#: Documents of a source in that sample, at least, so that small sources have their share.
+LEAST = 30
 #: Hash buckets per level.
 BUCKETS = 4096
 
@@ -30,24 +34,36 @@ BUCKETS = 4096
 def target_list(targets: DataFrame) -> list[tuple[str, float, int]]:
     """(source, share, most repeats), shares scaled to a sum of one; rows with null, no share or no repeats are left out.
 
-    At most 10 000 sources; a source given twice is an error.
+    At most MOST_SOURCES; a source given twice is an error.
     """
-    rows = targets.select("source", "target_share", "max_repeats").filter("source is not null and target_share > 0 and max_repeats > 0").orderBy("source").limit(10_001).collect()
-    if len(rows) > 10_000 or len({r[0] for r in rows}) < len(rows):
-        raise ValueError("targets must name at most 10 000 sources, each once")
+    rows = targets.select("source", "target_share", "max_repeats").filter("source is not null and target_share > 0 and max_repeats > 0").orderBy("source").limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES or len({r[0] for r in rows}) < len(rows):
+        raise ValueError(f"targets must name at most {MOST_SOURCES} sources, each once")
     total = sum(r[1] for r in rows)
     return [(r[0], r[1] / total, int(r[2])) for r in rows]
 
 
 def fit_sources(documents: DataFrame, sources: list[str], sample: int = SAMPLE) -> Model | None:
-    """Classifier of sources from about ``sample`` labelled documents, taken by the hash of their id; None without any."""
-    labelled = F.col("source").isin(sources) & F.col("text").isNotNull()
-    total = documents.filter(F.col("source").isin(sources)).count()
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(total, 1)))
-    rows = documents.filter(labelled & part).select("source", "text").limit(2 * sample).collect()
-    if not rows:
+    """Classifier of sources from about ``sample`` labelled documents; None without any.
+
+    Every source gets as many, at least LEAST, or all it has if fewer; they
+    are taken by the hash of their id.  At most twice that number is ever
+    collected.
+    """
+    texts = documents.filter("text is not null and source is not null").select("doc_id", "source", "text")
+    counts = {r[0]: r[1] for r in texts.groupBy("source").count().join(_names(documents, sources), "source", "left_semi").collect()}  # one row a source
+    if not counts:
         return None
-    return Model(sources, _count([r[1].encode() for r in rows], [sources.index(r[0]) for r in rows], len(sources)))
+    each = max(LEAST, sample // len(counts))
+    shares = documents.sparkSession.createDataFrame([(s, int((1 << 30) * min(1.0, each / n))) for s, n in counts.items()], "source string, below long")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("below")
+    rows = texts.join(shares, "source").filter(part).select("source", "text").limit(2 * each * len(counts)).collect()
+    place = {s: i for i, s in enumerate(sources)}
+    return Model(sources, _count([r[1].encode() for r in rows], [place[r[0]] for r in rows], len(sources)))
+
+
+def _names(documents: DataFrame, sources: list[str]) -> DataFrame:
+    return documents.sparkSession.createDataFrame([(s,) for s in sources], "source string")
 
 
 def measure(documents: DataFrame, sources: list[str], model: Model | None, folder: str = encode.FOLDER, name: str = encode.TOKENIZER) -> DataFrame:
@@ -183,7 +199,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, un
     caps = {s: c for s, _, c in aims}
     model = fit_sources(documents, sources) if sources else None
     # groups of like documents: of a named source, or of a most likely one
-    group = F.when(F.col("source").isin(sources), F.concat(F.lit("="), "source"))
+    group = F.when(F.col("posterior").isNull() & F.col("likely").isNotNull(), F.concat(F.lit("="), "source"))
     if unlabelled:
         group = group.when(F.col("posterior").isNotNull(), F.concat(F.lit("?"), "likely"))
     rows = durable(measure(documents, sources, model).withColumn("group", group))
@@ -202,14 +218,14 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, un
     extra = {g: max(0.0, rate[g] - whole[g]) * n[g] for g in rate if whole[g] < caps[g[1:]]}
     extra = {g: x for g, x in extra.items() if x > 0.5}
     at = thresholds(rows.select("doc_id", F.col("group").alias("source"), "n_tokens").filter("source is not null"), extra) if extra else {}
-    copies, shown = F.lit(0), F.lit(0.0)
-    here = F.struct(*(_bucket(i).alias(f"b{i}") for i in range(3)))
-    for g, r in rate.items():
-        more = F.when(here < F.struct(*(F.lit(b).alias(f"b{i}") for i, b in enumerate(at[g]))), 1).otherwise(0) if g in at else F.lit(0)
-        copies = F.when(F.col("group") == g, F.lit(whole[g]) + more).otherwise(copies)
-        shown = F.when(F.col("group") == g, F.lit(r)).otherwise(shown)
+    spark = documents.sparkSession
+    plan = [(g, float(r), whole[g], *at.get(g, (0, 0, 0))) for g, r in rate.items()]
+    plans = spark.createDataFrame(plan, "group string, rate double, whole int, p0 int, p1 int, p2 int")  # at most two rows a source
+    here, upto = F.struct(*(_bucket(i).alias(f"b{i}") for i in range(3))), F.struct(*(F.col(f"p{i}").alias(f"b{i}") for i in range(3)))
+    planned = rows.join(plans, "group", "left")
+    copies, shown = F.coalesce(F.col("whole") + F.when(here < upto, 1).otherwise(0), F.lit(0)), F.coalesce("rate", F.lit(0.0))
     names = F.array(*(F.lit(s) for s in sources)).cast("array<string>")
-    return rows.select("doc_id", "source", "n_tokens", copies.cast("int").alias("copies"), shown.alias("rate"), "likely", F.map_from_arrays(names, "posterior").alias("membership"))
+    return planned.select("doc_id", "source", "n_tokens", copies.cast("int").alias("copies"), shown.alias("rate"), "likely", F.map_from_arrays(names, "posterior").alias("membership"))
 
 
 def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
