@@ -51,11 +51,6 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    """Partitions of a shuffle as the session sets them."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def estimated_bytes(df: DataFrame) -> int:
     """Bytes of the plan's rows as the optimizer estimates them; nothing is run."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

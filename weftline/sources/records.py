@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.session import durable, shuffle_width
+from weftline.session import durable
 
 
 def ordinals(df: DataFrame, *keys: str, name: str = "ordinal") -> DataFrame:
@@ -13,7 +13,7 @@ def ordinals(df: DataFrame, *keys: str, name: str = "ordinal") -> DataFrame:
     Range partitions are sorted each by itself; their sizes, one number per
     partition, give the offsets.  Ties of the keys are numbered arbitrarily.
     """
-    parts = df.repartitionByRange(shuffle_width(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    parts = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = durable(parts.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
     sizes = sorted((r[0], r[1]) for r in placed.groupBy("__part").count().collect())
     start, offsets = 0, []
