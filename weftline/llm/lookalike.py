@@ -13,9 +13,12 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.functions.textforms import LOOK_ALIKES
@@ -181,10 +184,7 @@ def count_bigrams(texts: DataFrame, column: str) -> dict[str, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words: dict[str, int] = {}
-            for text in batch.column(0).to_pylist():
-                for w in WORD.findall(text or ""):
-                    words[w] = words.get(w, 0) + 1
+            words = Counter(WORD.findall("\n".join(t for t in batch.column(0).to_pylist() if t)))
             n: dict[str, int] = {}
             for w, k in words.items():
                 kinds = {s for s in map(script, w) if s}
@@ -218,6 +218,18 @@ def fit(records: DataFrame) -> Bigrams:
 FORMS = "rid long, title string, features array<struct<key:string,value:string>>, title_odd boolean, features_odd boolean"
 
 
+def _formed(texts: pa.Array, score: Bigrams, memo: dict) -> tuple[pa.Array, np.ndarray]:
+    """Texts in their one form, and which of them held a character in place of the ordinary one; ASCII texts stay untouched."""
+    texts, odd = texts.cast(pa.string()), np.zeros(len(texts), dtype=bool)
+    foreign = pc.fill_null(pc.invert(pc.string_is_ascii(texts)), False)
+    at = np.flatnonzero(foreign.to_numpy(zero_copy_only=False))
+    if not len(at):
+        return texts, odd
+    done = [one_form(t, score, memo) for t in texts.take(pa.array(at)).to_pylist()]
+    odd[at] = [hit for _, hit in done]
+    return pc.replace_with_mask(texts, foreign, pa.array([form for form, _ in done], pa.string())), odd
+
+
 def to_one_form(records: DataFrame, score: Bigrams | None = None) -> DataFrame:
     """Records ``rid, title, features`` with every text in its one form, and flags.
 
@@ -226,30 +238,20 @@ def to_one_form(records: DataFrame, score: Bigrams | None = None) -> DataFrame:
     unflagged.  Repeated rows are kept.
     """
     score = score or fit(records)
-    kind = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         for batch in batches:
-            titles, features, title_odd, features_odd = [], [], [], []
-            for title, entries in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                t, odd = one_form(title, score, memo)
-                titles.append(None if title is None else t)
-                title_odd.append(odd)
-                flag, new = False, None
-                if entries is not None:
-                    new = []
-                    for e in entries:
-                        k, odd_k = one_form(e["key"], score, memo)
-                        v, odd_v = one_form(e["value"], score, memo)
-                        flag = flag or odd_k or odd_v
-                        new.append({"key": k, "value": None if e["value"] is None else v})
-                features.append(new)
-                features_odd.append(flag)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(titles, pa.string()), pa.array(features, kind), pa.array(title_odd, pa.bool_()), pa.array(features_odd, pa.bool_())],
-                names=["rid", "title", "features", "title_odd", "features_odd"],
-            )
+            titles, title_odd = _formed(batch.column(1), score, memo)
+            lists = batch.column(2)
+            entries = lists.flatten()
+            keys, odd_key = _formed(pc.struct_field(entries, [0]), score, memo)
+            values, odd_value = _formed(pc.struct_field(entries, [1]), score, memo)
+            features_odd = np.zeros(len(lists), dtype=bool)
+            features_odd[pc.list_parent_indices(lists).to_numpy()[odd_key | odd_value]] = True
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+            features = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([keys, values], names=["key", "value"]), mask=lists.is_null())
+            yield pa.RecordBatch.from_arrays([batch.column(0), titles, features, pa.array(title_odd), pa.array(features_odd)], names=["rid", "title", "features", "title_odd", "features_odd"])
 
     return spread(record_texts(records)).mapInArrow(run, FORMS)
 
