@@ -158,8 +158,19 @@ def test_same_products(spark):
         (9, None, None),
         (1, "Karvolin ZF48-K6M2V-EU2 48 inch TV", {"EAN": "4006381333931"}),
     ]
-    got = {r.rid: r.product for r in products.same_products(spark.createDataFrame(rows, REC), spark.createDataFrame(BRANDS, "brand_id int, brand string")).collect()}
+    brands = spark.createDataFrame(BRANDS, "brand_id int, brand string")
+    others = [(1000 + i, f"Orvo TV {20 + i % 60} inch", {"Contrast": f"{1000 + 7 * i}:1", "Brightness": f"{300 + i} nits"}) for i in range(2000)]  # show how seldom figures agree
+    got = {r.rid: r.product for r in products.same_products(spark.createDataFrame(rows + others, REC), brands).filter("rid < 1000").collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8, 9: 9}
+    alone = {r.rid: r.product for r in products.same_products(spark.createDataFrame(rows, REC), brands).collect()}
+    assert alone == got | {7: 7}  # figures of which nothing tells how seldom they agree are no key
+
+
+def test_model_numbers():
+    assert products.models("Karvolin ZF48-K6M2V-EU2") == [("ZF48K6M2V", 48, "K6M2V")] and products.models("JW 46 WWH7XA tv") == [("JW46WWH7XA", 46, "WWH7XA")]
+    assert products.models("Samson UN55NU8000FXZA LED") == [("UN55NU8000FXZA", 55, "NU8000FXZA")] and products.models("OLED55C8PUA") == [("OLED55C8PUA", 55, "C8PUA")]
+    assert products.models("QX100-K6M2V") == [("QX100K6M2V", 100, "K6M2V")]
+    assert products.models("TV 50 inches HDTV 40in 120HZ") == []
 
 
 def test_only_conflicting_links_are_cut(spark):
