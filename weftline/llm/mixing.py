@@ -21,7 +21,7 @@ from weftline.llm import encode
 from weftline.llm.language import Model, _count
 from weftline.session import durable
 
-#: Sources that a mixture may have: the driver holds a sum per source and hash bucket.
+#: Sources that a mixture may have: the driver holds a sum per source and hash bucket, and tables of a row or two a source are broadcast.
 MOST_SOURCES = 500
 #: Labelled documents in the classifier's sample, about; at most twice as many are ever collected.
 SAMPLE = 1500
@@ -51,13 +51,13 @@ def fit_sources(documents: DataFrame, sources: list[str], sample: int = SAMPLE)
     collected.
     """
     texts = documents.filter("text is not null and source is not null").select("doc_id", "source", "text")
-    counts = {r[0]: r[1] for r in texts.groupBy("source").count().join(_names(documents, sources), "source", "left_semi").collect()}  # one row a source
+    counts = {r[0]: r[1] for r in texts.groupBy("source").count().join(F.broadcast(_names(documents, sources)), "source", "left_semi").collect()}  # one row a source
     if not counts:
         return None
     each = max(LEAST, sample // len(counts))
     shares = documents.sparkSession.createDataFrame([(s, int((1 << 30) * min(1.0, each / n))) for s, n in counts.items()], "source string, below long")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("below")
-    rows = texts.join(shares, "source").filter(part).select("source", "text").limit(2 * each * len(counts)).collect()
+    rows = texts.join(F.broadcast(shares), "source").filter(part).select("source", "text").limit(2 * each * len(counts)).collect()
     place = {s: i for i, s in enumerate(sources)}
     return Model(sources, _count([r[1].encode() for r in rows], [place[r[0]] for r in rows], len(sources)))
 
@@ -222,7 +222,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, un
     plan = [(g, float(r), whole[g], *at.get(g, (0, 0, 0))) for g, r in rate.items()]
     plans = spark.createDataFrame(plan, "group string, rate double, whole int, p0 int, p1 int, p2 int")  # at most two rows a source
     here, upto = F.struct(*(_bucket(i).alias(f"b{i}") for i in range(3))), F.struct(*(F.col(f"p{i}").alias(f"b{i}") for i in range(3)))
-    planned = rows.join(plans, "group", "left")
+    planned = rows.join(F.broadcast(plans), "group", "left")
     copies, shown = F.coalesce(F.col("whole") + F.when(here < upto, 1).otherwise(0), F.lit(0)), F.coalesce("rate", F.lit(0.0))
     names = F.array(*(F.lit(s) for s in sources)).cast("array<string>")
     return planned.select("doc_id", "source", "n_tokens", copies.cast("int").alias("copies"), shown.alias("rate"), "likely", F.map_from_arrays(names, "posterior").alias("membership"))
