@@ -275,7 +275,7 @@ def same_products(records: DataFrame, brands: DataFrame) -> DataFrame:
     shards, _ = canonical.reference_shards(brands, "brand_id", "brand")
     known = {form: str(entry) for shard in shards for form, entry in reversed(shard)}
     named = records.sparkSession.createDataFrame(list(known.items()), "brand string, by_feature string")
-    listings = extract(forms).join(found, "rid").join(named, "brand", "left")
+    listings = extract(forms).join(found, "rid").join(F.broadcast(named), "brand", "left")  # names bounded by reference_shards
     maker = F.when(F.col("entry") > 0, F.col("entry").cast("string")).otherwise(F.coalesce("by_feature", "brand"))
     listings = durable(listings.withColumn("maker", maker).drop("entry", "by_feature"))
     sets = listings.select("rid", "words")
