@@ -213,3 +213,31 @@ def test_registered_search_has_all_hashes(spark):
     cut = {rid: {(k, tuple(s[k : k + c.rows])) for k in range(0, c.n, c.rows)} for rid, s in want.items()}
     near = {(i, j) for i in cut for j in cut if i < j and cut[i] & cut[j]}
     assert {tuple(r) for r in reference.QUERIES["lsh_candidates"](spark, SMALL).collect()} == near
+
+
+def test_buckets_are_not_broadcast(spark):
+    """Buckets are many times larger than the records whose size the optimizer knows."""
+    sigs = spark.createDataFrame([(i, [i % 3, i % 5]) for i in range(40)], "rid long, sig array<long>")
+    block = spark.createDataFrame([(i, str(i % 2)) for i in range(40)], "rid long, block string")
+    for b in (None, block):
+        pairs = minhash.candidates(minhash.bands(sigs, DedupConfig(n=2, rows=1)), b)
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in pairs.collect()} == {(i, j) for i in range(40) for j in range(i + 1, 40) if (i % 3 == j % 3 or i % 5 == j % 5) and (b is None or i % 2 == j % 2)}
+
+
+def test_members_of_classes_come_in_pieces(spark, monkeypatch):
+    """Pairs of records come from rows that name a few records of a class, of large classes and small."""
+    monkeypatch.setattr(minhash, "CHUNK", 3)
+    rep = {i: (0, 1, 1, 3)[i % 4] if i > 3 else (0, 1, 1, 3)[i] for i in range(23)}
+    classes = spark.createDataFrame([(i, r, [1]) for i, r in rep.items()], "rid long, rep long, word_ids array<long>")
+    got = [tuple(r) for r in minhash.class_members(classes, spark.createDataFrame([(0, 1)], "rep_i long, rep_j long"), DedupConfig()).collect()]
+    want = {(i, j) for i in rep for j in rep if i < j and (rep[i] == rep[j] or {rep[i], rep[j]} == {0, 1})}
+    assert set(got) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("drop_empty", [False, True])
+def test_candidates_are_counted_by_class(spark, drop_empty):
+    config = DedupConfig(n=8, rows=2, drop_empty=drop_empty)
+    vecs = spark.createDataFrame([(i, [i % 3, 7] if i % 4 else []) for i in range(30)], "rid long, word_ids array<long>")
+    rec = spark.createDataFrame([(i, None if i % 7 == 0 else str(i % 5), "", {}, {}) for i in range(30)], REC)
+    assert pipeline.found(vecs, rec, config).collect() == evaluate.found(pipeline.candidate_pairs(vecs, config), rec).collect()

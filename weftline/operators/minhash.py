@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftline.config import DedupConfig
-from weftline.session import spread
+from weftline.session import durable, spread
 
 
 def affine(x: Column, a: int, b: int, prime: int) -> Column:
@@ -75,12 +75,15 @@ def candidates(buckets: DataFrame, block: DataFrame | None = None) -> DataFrame:
 
     With ``block`` (``rid, block``), only pairs of one block: the block joins
     the key, so a hot bucket is split before pairs arise.
+
+    Buckets are never broadcast: their size is estimated from the records
+    before they are cut into bands, far too low.
     """
     keys = ["band", "bucket"]
     if block is not None:
-        buckets, keys = buckets.join(block, "rid"), [*keys, "block"]
+        buckets, keys = buckets.join(block.hint("merge"), "rid"), [*keys, "block"]
     left, right = buckets.withColumnRenamed("rid", "rid_i"), buckets.withColumnRenamed("rid", "rid_j")
-    return left.join(right, keys).filter("rid_i < rid_j").select("rid_i", "rid_j").distinct()
+    return left.join(right.hint("merge"), keys).filter("rid_i < rid_j").select("rid_i", "rid_j").distinct()
 
 
 def class_candidates(classes: DataFrame, config: DedupConfig) -> DataFrame:
@@ -95,8 +98,53 @@ def class_members(classes: DataFrame, pairs: DataFrame, config: DedupConfig) ->
 
     With ``drop_empty`` records without a word are in no pair.
     """
-    rows = classes.filter(F.size("word_ids") > 0) if config.drop_empty else classes
-    side = lambda s: rows.select(F.col("rep").alias(f"rep_{s}"), F.col("rid").alias(s))
-    same = side("i").join(side("j"), F.col("rep_i") == F.col("rep_j")).filter("i < j").select("i", "j")
-    other = pairs.join(side("i"), "rep_i").join(side("j"), "rep_j").select("i", "j")
-    return same.unionByName(other).select(F.least("i", "j").alias("rid_i"), F.greatest("i", "j").alias("rid_j"))
+    rows = with_words(classes, config)
+    return record_pairs(_ordered(rows, pairs), rows, "rep")
+
+
+def with_words(classes: DataFrame, config: DedupConfig) -> DataFrame:
+    """The classes whose records may be in a pair."""
+    return classes.filter(F.size("word_ids") > 0) if config.drop_empty else classes
+
+
+def _ordered(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``rep_i, rep_j``: the pairs of classes either way, and every class with itself."""
+    same = classes.select(F.col("rep").alias("rep_i")).distinct().withColumn("rep_j", F.col("rep_i"))
+    return pairs.select("rep_i", "rep_j").unionByName(pairs.select(F.col("rep_j").alias("rep_i"), F.col("rep_i").alias("rep_j"))).unionByName(same)
+
+
+#: Records of a class that one row names, at most.
+CHUNK = 256
+
+
+def record_pairs(pairs: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """``rid_i, rid_j`` (i < j) and the other columns of ordered pairs ``{key}_i, {key}_j``, for the records of both classes.
+
+    ``classes`` has ``rid`` and ``key``.  A row of a class names up to
+    ``CHUNK`` records, so what is shuffled are pairs of classes, not of records.
+    """
+    place = F.row_number().over(Window.partitionBy(key).orderBy("rid"))
+    named = classes.select(key, "rid", F.floor((place - 1) / CHUNK).alias("chunk")).groupBy(key, "chunk").agg(F.array_sort(F.collect_list("rid")).alias("rids"))
+    rows = durable(named.select(key, "rids", F.element_at("rids", 1).alias("lo"), F.element_at("rids", -1).alias("hi")))
+    side = lambda s: rows.select(*(F.col(c).alias(f"{c}_{s}") for c in rows.columns)).hint("merge")
+    rest = [c for c in pairs.columns if c not in (f"{key}_i", f"{key}_j")]
+    met = pairs.join(side("i"), f"{key}_i").join(side("j"), f"{key}_j").filter("lo_i < hi_j")
+    left = met.select(F.explode("rids_i").alias("rid_i"), "rids_j", *rest)
+    return left.select("rid_i", F.explode("rids_j").alias("rid_j"), *rest).filter("rid_i < rid_j")
+
+
+def contents(classes: DataFrame, fields: DataFrame) -> DataFrame:
+    """``rid, rep, cid``: cid is the smallest rid of those records of a class that agree in all ``fields`` beside ``rid``.
+
+    Records of one content score alike against any other.
+    """
+    columns = [c for c in fields.columns if c != "rid"]
+    rows = classes.select("rid", "rep").join(fields.hint("merge"), "rid")
+    return rows.select("rid", "rep", F.min("rid").over(Window.partitionBy("rep", *columns)).alias("cid"))
+
+
+def content_pairs(contents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Ordered pairs ``cid_i, cid_j`` of the contents of one class or of two classes of a pair, where a record of the first comes before one of the second."""
+    ends = durable(contents.groupBy("rep", "cid").agg(F.max("rid").alias("hi")))
+    side = lambda s: ends.select(*(F.col(c).alias(f"{c}_{s}") for c in ends.columns)).hint("merge")
+    return _ordered(ends, pairs).join(side("i"), "rep_i").join(side("j"), "rep_j").filter("cid_i < hi_j").select("cid_i", "cid_j")

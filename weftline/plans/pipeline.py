@@ -36,6 +36,18 @@ def candidate_pairs(vector_rows: DataFrame, config: DedupConfig, block: DataFram
     return minhash.class_members(classes, minhash.class_candidates(classes, config), config)
 
 
+def found(vector_rows: DataFrame, records: DataFrame, config: DedupConfig) -> DataFrame:
+    """One row as of ``evaluate.found`` for the candidates, which are counted by class and not named."""
+    classes = durable(minhash.vector_classes(vector_rows))
+    near = durable(minhash.class_candidates(minhash.with_words(classes, config), config))
+    return evaluate.found_by_class(_labelled(classes, records, config), near)
+
+
+def _labelled(classes: DataFrame, records: DataFrame, config: DedupConfig) -> DataFrame:
+    """``rid, rep, entity_id`` of the records that may be in a pair."""
+    return durable(minhash.with_words(classes, config).join(records.select("rid", "entity_id"), "rid").select("rid", "rep", "entity_id"))
+
+
 def find_duplicates(records: DataFrame, brands: DataFrame, config: DedupConfig | None = None, whole: Sequence[str] = S.WHOLE_VALUES, first: Sequence[str] = S.FIRST_TOKENS) -> Result:
     """Candidates of equal brand, their distances, complete-linkage clusters and one row of metrics."""
     config = config or DedupConfig()
