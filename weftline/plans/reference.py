@@ -245,7 +245,7 @@ QUERIES = {
     "lsh_params": lsh_params,
     "lsh_bands": lambda s, d: minhash.bands(_signatures(s, d), CONFIG),
     "lsh_candidates": _candidates,
-    "dups_found": lambda s, d: evaluate.found(_candidates(s, d), _records(s, d)),
+    "dups_found": lambda s, d: pipeline.found(_vectors(s, d), _records(s, d), CONFIG),
     "dups_to_find": lambda s, d: evaluate.to_find(_records(s, d)),
     "pair_quality": lambda s, d: _rounded(evaluate.pair_quality(_candidates(s, d), _records(s, d))),
     "bootstrap_sample": bootstrap_sample,
