@@ -247,7 +247,7 @@ QUERIES = {
     "lsh_candidates": _candidates,
     "dups_found": lambda s, d: pipeline.found(_vectors(s, d), _records(s, d), CONFIG),
     "dups_to_find": lambda s, d: evaluate.to_find(_records(s, d)),
-    "pair_quality": lambda s, d: _rounded(evaluate.pair_quality(_candidates(s, d), _records(s, d))),
+    "pair_quality": lambda s, d: _rounded(evaluate.quality(pipeline.found(_vectors(s, d), _records(s, d), CONFIG), _records(s, d))),
     "bootstrap_sample": bootstrap_sample,
     "brand_extract": _brands,
     "brand_block": _blocked,
