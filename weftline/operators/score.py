@@ -18,33 +18,42 @@ from weftline.session import durable
 
 #: Pairs that a task scores, about.
 PAIRS = 50_000
+#: Tasks of the scores, at most: the driver keeps track of each.
+MOST_TASKS = 2000
+
+
+def fields(records: DataFrame) -> DataFrame:
+    """``rid, title, kv``: all of a record that its scores depend on."""
+    return key_values(records).join(records.select("rid", F.coalesce("title", F.lit("")).alias("title")).hint("merge"), "rid").select("rid", "title", "kv")
 
 
 def paired(candidates: DataFrame, records: DataFrame) -> DataFrame:
     """Candidates with ``title``, ``kv`` (names and values with their grams) and ``words`` of both sides."""
-    kv = key_values(records).join(records.select("rid", "title"), "rid")
     grams = F.transform("kv", lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), qgrams(e["key"]).alias("kg"), qgrams(e["value"]).alias("vg")))
-    side = kv.select("rid", F.coalesce("title", F.lit("")).alias("title"), grams.alias("kv"), mixed_tokens(F.transform("kv", lambda e: e["value"])).alias("words"))
-    named = lambda s: side.select(*(F.col(c).alias(f"{c}_{s}") for c in side.columns))
+    side = fields(records).select("rid", "title", grams.alias("kv"), mixed_tokens(F.transform("kv", lambda e: e["value"])).alias("words"))
+    named = lambda s: side.select(*(F.col(c).alias(f"{c}_{s}") for c in side.columns)).hint("merge")
     pairs = durable(candidates)
-    tasks = max(candidates.sparkSession.sparkContext.defaultParallelism, pairs.count() // PAIRS)
+    tasks = min(MOST_TASKS, max(candidates.sparkSession.sparkContext.defaultParallelism, pairs.count() // PAIRS))
     return pairs.join(named("i"), "rid_i").join(named("j"), "rid_j").repartition(tasks)
 
 
 def key_matches(pairs: DataFrame, gamma: float) -> DataFrame:
     """``matches``: for each right name with a left name above gamma, the first such, with both similarities.
 
-    ``rest_i`` and ``rest_j`` are the entries that no match took.
+    ``rest_i`` and ``rest_j`` are the entries that no match took.  Each name
+    and each matched value is compared once: what a lambda uses again is bound
+    to a variable of it, as an expression it would be worked out at every use.
     """
 
     def match(r: Column) -> Column:
         scored = F.transform("kv_i", lambda q, i: F.struct(i.alias("q_pos"), sim.gram_similarity(q["kg"], r["kg"]).alias("w"), q["vg"].alias("vg"), q["key"].alias("q_key")))
-        first = F.try_element_at(F.filter(scored, lambda s: s["w"] > gamma), F.lit(1))
-        return F.when(first.isNotNull(), F.struct(first["q_pos"].alias("q_pos"), first["q_key"].alias("q_key"), r["key"].alias("r_key"), first["w"].alias("w"), sim.gram_similarity(first["vg"], r["vg"]).alias("v")))
+        first = F.slice(F.filter(scored, lambda s: s["w"] > gamma), 1, 1)
+        return F.transform(first, lambda s: F.struct(s["q_pos"].alias("q_pos"), s["q_key"].alias("q_key"), r["key"].alias("r_key"), s["w"].alias("w"), sim.gram_similarity(s["vg"], r["vg"]).alias("v")))
 
-    matched = pairs.withColumn("matches", F.array_compact(F.transform("kv_j", match)))
-    taken_i, taken_j = F.transform("matches", lambda m: m["q_key"]), F.transform("matches", lambda m: m["r_key"])
-    return matched.withColumn("rest_i", F.filter("kv_i", lambda e: ~F.array_contains(taken_i, e["key"]))).withColumn("rest_j", F.filter("kv_j", lambda e: ~F.array_contains(taken_j, e["key"])))
+    matched = pairs.withColumn("matches", F.flatten(F.transform("kv_j", match)))
+    taken = matched.withColumn("taken_i", F.transform("matches", lambda m: m["q_key"])).withColumn("taken_j", F.transform("matches", lambda m: m["r_key"]))
+    rest = taken.withColumn("rest_i", F.filter("kv_i", lambda e: ~F.array_contains("taken_i", e["key"]))).withColumn("rest_j", F.filter("kv_j", lambda e: ~F.array_contains("taken_j", e["key"])))
+    return rest.drop("taken_i", "taken_j")
 
 
 def weighted_values() -> Column:
