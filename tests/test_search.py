@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.config import DedupConfig
 from weftline.functions import similarity as sim, strings as S
-from weftline.operators import cluster, evaluate, minhash, tokens, vectors
+from weftline.operators import cluster, evaluate, minhash, score, tokens, vectors
 from weftline.plans import pipeline, reference
 from weftline.sources import records as R
 
@@ -241,3 +241,63 @@ def test_candidates_are_counted_by_class(spark, drop_empty):
     vecs = spark.createDataFrame([(i, [i % 3, 7] if i % 4 else []) for i in range(30)], "rid long, word_ids array<long>")
     rec = spark.createDataFrame([(i, None if i % 7 == 0 else str(i % 5), "", {}, {}) for i in range(30)], REC)
     assert pipeline.found(vecs, rec, config).collect() == evaluate.found(pipeline.candidate_pairs(vecs, config), rec).collect()
+
+
+def test_greedy_match_is_worked_out_once(spark):
+    """The chosen match is bound to a variable, not repeated for every gram that it is held against."""
+    rows = spark.createDataFrame([(1, {"aaaa": "x y", "b": "1", "aaaab": "2"}), (2, {"aaaa": "x z", "c": "3"})], "rid long, features map<string,string>")
+    rec = rows.selectExpr("rid", "string(rid) entity_id", "'t' title", "map() attrs", "features").withColumn("attrs", F.create_map().cast("map<string,string>"))
+    got = score.key_matches(score.paired(spark.createDataFrame([(1, 2)], "rid_i long, rid_j long"), rec), 0.75)
+    r = got.select("matches", F.col("rest_i")["key"].alias("i"), F.col("rest_j")["key"].alias("j")).first()
+    assert [(m.q_key, m.r_key) for m in r.matches] == [("title", "title"), ("aaaa", "aaaa")] and (r.i, r.j) == (["b", "aaaab"], ["c"])
+    plan = got.select("matches")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("kg") <= 12
+
+
+def by_content(seed):
+    """Records with contents, scores of ordered contents (some not symmetric, some equal) and the scores of all pairs of records."""
+    rng = random.Random(seed)
+    cid = {}
+    for i in range(18):
+        cid[i] = rng.choice([*set(cid.values()), i]) if i else 0
+    scores = {}
+    for c, d in itertools.product(set(cid.values()), repeat=2):
+        if c == d:
+            scores[c, d] = rng.choice([0.0, 0.0, 0.0, 0.2, 0.7, None])
+        elif rng.random() < 0.7:
+            scores[c, d] = rng.choice([0.0, 0.1, 0.2, 0.3, 0.4, 0.6])
+            scores[d, c] = scores[c, d] if rng.random() < 0.6 else rng.choice([0.1, 0.45, 0.6, None])
+    ordered = {(cid[i], cid[j]) for i, j in itertools.combinations(range(18), 2)}
+    pairs = {(i, j): scores[cid[i], cid[j]] for i, j in itertools.combinations(range(18), 2) if (cid[i], cid[j]) in scores}
+    return cid, {k: v for k, v in scores.items() if k in ordered}, pairs
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_clusters_and_components_by_content(spark, seed):
+    cid, scores, pairs = by_content(seed)
+    of = spark.createDataFrame([(i, c, c) for i, c in cid.items()], "rid long, rep long, cid long")
+    df = spark.createDataFrame([(c, d, x) for (c, d), x in scores.items()], "cid_i long, cid_j long, dist double")
+    assert {(r.rid_i, r.rid_j): r.dist for r in minhash.record_pairs(df, of, "cid").collect()} == pairs
+    near = {k: v for k, v in pairs.items() if v is not None}
+    assert {r.rid: r.cluster_id for r in cluster.linkage_of_contents(df, of, 0.5).collect()} == greedy(18, near, 0.5)
+    label = {}
+    for _ in range(18):
+        for (i, j), x in near.items():
+            if x < 0.5:
+                label[i] = label[j] = min(label.get(i, i), label.get(j, j))
+    got = cluster.components(cluster.both_ways(cluster.content_edges(df, of, 0.5)))
+    assert {r.u: r.label for r in got.collect()} == label
+
+
+def test_repeated_records_are_scored_once(spark):
+    """Ten copies of the parts: as many scores as of ordered contents, as many pairs as of records."""
+    rec = R.from_parts(spark.read.parquet(f"{SMALL}/part.parquet").filter("p_partkey < 60"))
+    many = rec.crossJoin(spark.range(10).withColumnRenamed("id", "copy")).withColumn("rid", F.col("rid") + 1000 * F.col("copy")).drop("copy")
+    config = DedupConfig(n=16, rows=4)
+    sizes = []
+    for r in (rec, many):
+        cleaned, _, vecs = pipeline.word_sets(r)
+        by = pipeline.candidate_contents(vecs, cleaned, config)
+        sizes.append((by.of.select("cid").distinct().count(), by.pairs.count(), by.named(by.pairs).count(), pipeline.candidate_pairs(vecs, config).count()))
+    (n, p, q, c), (n10, p10, q10, c10) = sizes
+    assert n == n10 and p10 == n + 2 * p and (q, q10) == (c, c10) and q10 == 100 * q + n * 45

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from weftline.operators.minhash import record_pairs
 from weftline.session import discard, durable
 
 
@@ -156,6 +157,57 @@ def _linked_by_rounds(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     return label
 
 
+def _cross(scores: DataFrame) -> DataFrame:
+    """``cid, dist`` of both contents of each score between two contents."""
+    between = scores.filter("cid_i <> cid_j")
+    return between.select(F.col("cid_i").alias("cid"), "dist").unionByName(between.select(F.col("cid_j").alias("cid"), "dist"))
+
+
+def content_edges(scores: DataFrame, contents: DataFrame, epsilon: float) -> DataFrame:
+    """Edges ``u, v`` that connect the same records as all pairs of records nearer than epsilon, from scores ``cid_i, cid_j, dist`` of ordered pairs.
+
+    Where every ordered pair of two contents is near, all their records are
+    connected, and edges to each other's first record say as much.  Where only
+    one of two orders is near, the pairs of records are named.
+    """
+    near = F.coalesce(F.col("dist") < epsilon, F.lit(False))
+    rows = scores.select("cid_i", "cid_j", near.alias("near"))
+    of = rows.groupBy(F.least("cid_i", "cid_j").alias("a"), F.greatest("cid_i", "cid_j").alias("b")).agg(F.bool_and("near").alias("all"), F.bool_or("near").alias("any"))
+    whole = durable(of.filter("all").select("a", "b"))
+    each = contents.select("rid", "cid")
+    to = whole.unionByName(whole.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # a content near itself is connected by its own star, so that others need reach its first record only
+    own = whole.filter("a = b").select(F.col("a").alias("cid"), F.lit(True).alias("own"))
+    ends = each.join(own.hint("merge"), "cid", "left").filter("own is null or rid = cid").select("rid", F.col("cid").alias("a"))
+    star = each.join(own.hint("merge"), "cid").filter("rid <> cid").select(F.col("cid").alias("u"), F.col("rid").alias("v"))
+    across = ends.join(to.filter("a <> b").hint("merge"), "a").select(F.col("rid").alias("u"), F.col("b").alias("v"))
+    mixed = of.filter("any and not all").select("a", "b")
+    half = rows.filter("near").withColumn("a", F.least("cid_i", "cid_j")).withColumn("b", F.greatest("cid_i", "cid_j")).join(mixed.hint("merge"), ["a", "b"]).select("cid_i", "cid_j")
+    named = record_pairs(half, contents, "cid").select(F.col("rid_i").alias("u"), F.col("rid_j").alias("v"))
+    return star.unionByName(across).unionByName(named)
+
+
+def linkage_of_contents(scores: DataFrame, contents: DataFrame, epsilon: float, few: int = FEW) -> DataFrame:
+    """``rid, cluster_id`` of the records by complete linkage, from scores ``cid_i, cid_j, dist`` of ordered pairs of their contents.
+
+    A content whose records are nearer to each other than to all others merges
+    first, so it goes in as one node, with the largest distance of the orders
+    that occur.  The records of other contents are nodes each.
+    """
+    own = scores.filter("cid_i = cid_j").select(F.col("cid_i").alias("cid"), F.coalesce("dist", F.lit(float("inf"))).alias("own"))
+    other = _cross(scores).groupBy("cid").agg(F.min("dist").alias("other"))
+    loose = own.join(other.hint("merge"), "cid", "left").filter((F.col("own") >= epsilon) | F.coalesce(F.col("other") <= F.col("own"), F.lit(False))).select("cid", F.lit(True).alias("loose"))
+    placed = contents.select("rid", "cid").join(durable(loose).hint("merge"), "cid", "left").select("rid", "cid", F.when(F.col("loose"), F.col("rid")).otherwise(F.col("cid")).alias("node"))
+    placed = durable(placed)
+    nodes = durable(placed.groupBy("node", "cid").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")))
+    side = lambda s: nodes.select(*(F.col(c).alias(f"{c}_{s}") for c in nodes.columns)).hint("merge")
+    met = scores.join(side("i"), "cid_i").join(side("j"), "cid_j").filter("node_i <> node_j and lo_i < hi_j")
+    far = F.max(F.coalesce("dist", F.lit(float("inf")))).alias("dist")
+    pairs = met.groupBy(F.least("node_i", "node_j").alias("rid_i"), F.greatest("node_i", "node_j").alias("rid_j")).agg(far)
+    linked = complete_linkage(pairs, epsilon, nodes.select(F.col("node").alias("rid")), few)
+    return placed.select("rid", "node").join(linked.withColumnRenamed("rid", "node").hint("merge"), "node").select("rid", "cluster_id")
+
+
 def members(clusters: DataFrame, records: DataFrame) -> DataFrame:
     """``cluster_id, entity_ids``: the entity labels of each cluster's records in order of rid."""
     rows = clusters.join(records.select("rid", "entity_id"), "rid")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -48,17 +48,50 @@ def _labelled(classes: DataFrame, records: DataFrame, config: DedupConfig) -> Da
     return durable(minhash.with_words(classes, config).join(records.select("rid", "entity_id"), "rid").select("rid", "rep", "entity_id"))
 
 
+@dataclass
+class Contents:
+    """Candidates as ordered pairs ``cid_i, cid_j`` of contents, of which every record has one (``rid, rep, cid``).
+
+    A pair of records is scored by its contents alone, so repeated records are
+    scored once and only named, or counted, in the end.
+    """
+
+    of: DataFrame
+    near: DataFrame
+    pairs: DataFrame
+    cleaned: DataFrame
+
+    def scored(self, score: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+        """``cid_i, cid_j, ...`` by a function of pairs ``rid_i, rid_j`` and their records."""
+        one = self.of.filter("rid = cid").select("rid")
+        rows = score(self.pairs.select(F.col("cid_i").alias("rid_i"), F.col("cid_j").alias("rid_j")), self.cleaned.join(one.hint("merge"), "rid", "left_semi"))
+        return durable(rows.withColumnsRenamed({"rid_i": "cid_i", "rid_j": "cid_j"}))
+
+    def named(self, scores: DataFrame) -> DataFrame:
+        """``rid_i, rid_j, ...`` of all pairs of records."""
+        return minhash.record_pairs(scores, self.of, "cid")
+
+
+def candidate_contents(vector_rows: DataFrame, cleaned: DataFrame, config: DedupConfig, block: DataFrame | None = None) -> Contents:
+    """The candidates, as those of ``candidate_pairs``, by content."""
+    classes = durable(minhash.with_words(minhash.vector_classes(vector_rows, block), config))
+    near = durable(minhash.class_candidates(classes, config))
+    of = durable(minhash.contents(classes, score.fields(cleaned)))
+    return Contents(of, near, durable(minhash.content_pairs(of, near)), cleaned)
+
+
 def find_duplicates(records: DataFrame, brands: DataFrame, config: DedupConfig | None = None, whole: Sequence[str] = S.WHOLE_VALUES, first: Sequence[str] = S.FIRST_TOKENS) -> Result:
     """Candidates of equal brand, their distances, complete-linkage clusters and one row of metrics."""
     config = config or DedupConfig()
     cleaned, _, vecs = word_sets(records, whole, first)
     brand = blocking.extract_brand(cleaned, brands).select("rid", F.col("brand").alias("block"))
-    vecs = durable(vecs)
-    pairs = durable(candidate_pairs(vecs, config, brand))
-    distances = score.pair_distance(pairs, cleaned, config)
-    clusters = durable(cluster.complete_linkage(distances, config.epsilon, records.select("rid")))
-    metrics = evaluate.pair_quality(pairs, records).join(evaluate.cluster_pairs(clusters, records))  # one row each
-    return Result(pairs, distances, clusters, metrics)
+    by = candidate_contents(durable(vecs), cleaned, config, brand)
+    distances = by.scored(lambda p, r: score.pair_distance(p, r, config))
+    linked = cluster.linkage_of_contents(distances, by.of, config.epsilon)
+    clusters = durable(records.select("rid").join(linked.hint("merge"), "rid", "left").select("rid", F.coalesce("cluster_id", F.col("rid").cast("long")).alias("cluster_id")))
+    labelled = durable(by.of.join(records.select("rid", "entity_id").hint("merge"), "rid").select("rid", "rep", "entity_id"))
+    metrics = evaluate.quality(evaluate.found_by_class(labelled, by.near), records).join(evaluate.cluster_pairs(clusters, records))  # one row each
+    return Result(by.named(by.pairs), by.named(distances), clusters, metrics)
 
 
 def metrics_by_rows(vecs: DataFrame, records: DataFrame, config: DedupConfig, rows: Sequence[int]) -> DataFrame:

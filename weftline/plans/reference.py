@@ -61,16 +61,14 @@ def _blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.candidate_pairs(_vectors(spark, sf_dir), CONFIG, block)
 
 
-def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.paired(_blocked(spark, sf_dir), _clean(spark, sf_dir))
-
-
-def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.key_matches(_paired(spark, sf_dir), CONFIG.gamma)
+def _contents(spark: SparkSession, sf_dir: str) -> pipeline.Contents:
+    block = _brands(spark, sf_dir).select("rid", F.col("brand").alias("block"))
+    return pipeline.candidate_contents(_vectors(spark, sf_dir), _clean(spark, sf_dir), CONFIG, block)
 
 
-def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.pair_distance(_blocked(spark, sf_dir), _clean(spark, sf_dir), CONFIG)
+def _distances(by: pipeline.Contents, config: DedupConfig = CONFIG) -> DataFrame:
+    """``cid_i, cid_j, dist``, rounded as in the SQL."""
+    return by.scored(lambda p, r: score.pair_distance(p, r, config).select("rid_i", "rid_j", _six(F.col("dist"), "dist")))
 
 
 def _six(c, name: str):
@@ -78,8 +76,9 @@ def _six(c, name: str):
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    distances = _distances(spark, sf_dir).select("rid_i", "rid_j", F.round("dist", 6).alias("dist"))
-    return cluster.complete_linkage(distances, CONFIG.epsilon, _records(spark, sf_dir).select("rid"))
+    by, records = _contents(spark, sf_dir), _records(spark, sf_dir)
+    linked = cluster.linkage_of_contents(_distances(by), by.of, CONFIG.epsilon)
+    return durable(records.select("rid").join(linked.hint("merge"), "rid", "left").select("rid", F.coalesce("cluster_id", F.col("rid").cast("long")).alias("cluster_id")))
 
 
 def clean_features(spark, sf_dir):
@@ -152,26 +151,35 @@ def key_similarity(spark, sf_dir):
     return pairs.select("key", "other", _six(sim.text_similarity(F.col("key"), F.col("other")), "similarity"))
 
 
+def _by_content(spark, sf_dir, columns) -> DataFrame:
+    """Pairs of records with columns of their scores, which ``columns`` takes from rows as of ``score.paired``."""
+    by = _contents(spark, sf_dir)
+    return by.named(by.scored(lambda p, r: score.paired(p, r).transform(columns)))
+
+
 def _on_pairs(expr, name):
-    return lambda spark, sf_dir: _paired(spark, sf_dir).select("rid_i", "rid_j", _six(expr(), name))
+    return lambda spark, sf_dir: _by_content(spark, sf_dir, lambda rows: rows.select("rid_i", "rid_j", _six(expr(), name)))
 
 
 def greedy_key_match(spark, sf_dir):
-    rows = _matched(spark, sf_dir)
-    return rows.select("rid_i", "rid_j", F.size("matches").alias("m"), _six(score.weighted_values(), "avg_sim"))
+    matched = lambda rows: score.key_matches(rows, CONFIG.gamma).select("rid_i", "rid_j", F.size("matches").alias("m"), _six(score.weighted_values(), "avg_sim"))
+    return _by_content(spark, sf_dir, matched)
 
 
 def leftover_model_words(spark, sf_dir):
-    return _matched(spark, sf_dir).select("rid_i", "rid_j", F.size("rest_i").alias("left_i"), F.size("rest_j").alias("left_j"), _six(score.rest_overlap(), "overlap"))
+    left = lambda rows: score.key_matches(rows, CONFIG.gamma).select("rid_i", "rid_j", F.size("rest_i").alias("left_i"), F.size("rest_j").alias("left_j"), _six(score.rest_overlap(), "overlap"))
+    return _by_content(spark, sf_dir, left)
 
 
 def pair_distance(spark, sf_dir):
-    return _distances(spark, sf_dir).select("rid_i", "rid_j", _six(F.col("dist"), "dist"))
+    by = _contents(spark, sf_dir)
+    return by.named(_distances(by))
 
 
 def components(spark, sf_dir):
     """Components of the pairs nearer than epsilon, isolated records left out."""
-    near = durable(_distances(spark, sf_dir).filter(F.round("dist", 9) < CONFIG.epsilon).select(F.col("rid_i").alias("u"), F.col("rid_j").alias("v")))
+    by = _contents(spark, sf_dir)
+    near = durable(cluster.content_edges(_distances(by), by.of, CONFIG.epsilon))
     return cluster.components(cluster.both_ways(near)).select(F.col("u").alias("rid"), "label")
 
 
@@ -213,7 +221,8 @@ def find_duplicates(spark, sf_dir):
 
 def pair_distance_as_written(spark, sf_dir):
     """Distances under ``score_mode="as_written"``, 0 for every candidate of one brand."""
-    return score.pair_distance(_blocked(spark, sf_dir), _clean(spark, sf_dir), replace(CONFIG, score_mode="as_written"))
+    by = _contents(spark, sf_dir)
+    return by.named(_distances(by, replace(CONFIG, score_mode="as_written")))
 
 
 def lsh_bands_undelimited(spark, sf_dir):
@@ -254,7 +263,7 @@ QUERIES = {
     "qgram_similarity": qgram_similarity,
     "normalized_levenshtein": normalized_levenshtein,
     "mw_overlap": _on_pairs(lambda: sim.overlap(F.col("words_i"), F.col("words_j")), "overlap"),
-    "min_features": lambda s, d: _paired(s, d).select("rid_i", "rid_j", F.least(F.size("kv_i"), F.size("kv_j")).alias("min_features")),
+    "min_features": lambda s, d: _by_content(s, d, lambda rows: rows.select("rid_i", "rid_j", F.least(F.size("kv_i"), F.size("kv_j")).alias("min_features"))),
     "mw_levenshtein": _on_pairs(lambda: sim.word_edit_similarity(F.col("words_i"), F.col("words_j")), "similarity"),
     "title_cosine": _on_pairs(lambda: sim.word_cosine(F.col("title_i"), F.col("title_j")), "cosine"),
     "title_mw_similarity": _on_pairs(
