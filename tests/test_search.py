@@ -301,3 +301,23 @@ def test_repeated_records_are_scored_once(spark):
         sizes.append((by.of.select("cid").distinct().count(), by.pairs.count(), by.named(by.pairs).count(), pipeline.candidate_pairs(vecs, config).count()))
     (n, p, q, c), (n10, p10, q10, c10) = sizes
     assert n == n10 and p10 == n + 2 * p and (q, q10) == (c, c10) and q10 == 100 * q + n * 45
+
+
+@pytest.mark.parametrize("drop_empty", [False, True])
+def test_grid_of_rows_is_counted_in_blocks(spark, monkeypatch, drop_empty):
+    """Counts by bits of blocks against joins of buckets, with several blocks and no pair as a row."""
+    monkeypatch.setattr(evaluate, "BLOCK", 5)
+    monkeypatch.setattr(minhash, "candidates", lambda *a: pytest.fail("pairs become rows"))
+    rng = random.Random(2)
+    words = {i: sorted(rng.sample(range(12), rng.randint(0, 3))) for i in range(40)}
+    label = {i: rng.choice(["x", "y", "z", None]) for i in words}
+    vecs = spark.createDataFrame(list(words.items()), "rid long, word_ids array<long>")
+    rec = spark.createDataFrame([(i, e, "", {}, {}) for i, e in label.items()], REC)
+    config = DedupConfig(n=24, drop_empty=drop_empty)
+    got = {r.r: (r.comparisons, r.dups_found) for r in pipeline.metrics_by_rows(vecs, rec, config, (1, 3, 10)).collect()}
+    sig = {i: [max(w, key=lambda x, a=a, b=b: (a + b * x) % config.prime) if w else 10000 for a, b in config.coefficients()] for i, w in words.items() if w or not drop_empty}
+    for r in (1, 3, 10):
+        one = replace(config, rows=r)
+        cut = {i: {(k, tuple(v[k : k + one.band_rows])) for k in range(0, one.bands * one.band_rows, one.band_rows)} for i, v in sig.items()}
+        near = [(i, j) for i, j in itertools.combinations(sorted(sig), 2) if cut[i] & cut[j]]
+        assert got[r] == (len(near), sum(label[i] == label[j] is not None for i, j in near))

@@ -104,8 +104,10 @@ def metrics_by_rows(vecs: DataFrame, records: DataFrame, config: DedupConfig, ro
     members = classes.join(records.select("rid", "entity_id"), "rid").select("rid", "rep", "entity_id")
     members = durable(members.join(classes.filter(F.size("word_ids") > 0).select("rid"), "rid", "left_semi") if config.drop_empty else members)
     sigs = durable(minhash.signatures(classes.filter("rid = rep"), config))
+    if config.delimiter:
+        return evaluate.quality(evaluate.found_by_rows(members, sigs, config, rows), records)
     parts = []
-    for r in rows:
+    for r in rows:  # buckets whose names are ambiguous meet by name
         near = minhash.candidates(minhash.bands(sigs, replace(config, rows=r))).select(F.col("rid_i").alias("rep_i"), F.col("rid_j").alias("rep_j"))
         parts.append(evaluate.quality(evaluate.found_by_class(members, durable(near)), records).select(F.lit(r).alias("r"), "*"))
     return reduce(DataFrame.unionByName, parts)
