@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.config import DedupConfig
 from weftline.functions import strings as S
-from weftline.operators import blocking, cluster, evaluate, minhash, score, tokens, vectors
+from weftline.operators import blocking, cluster, evaluate, grids, minhash, score, tokens, vectors
 from weftline.session import durable
 from weftline.sources.records import gather, ordinals, sample_rows
 
@@ -48,18 +48,26 @@ def _labelled(classes: DataFrame, records: DataFrame, config: DedupConfig) -> Da
     return durable(minhash.with_words(classes, config).join(records.select("rid", "entity_id"), "rid").select("rid", "rep", "entity_id"))
 
 
-@dataclass
 class Contents:
-    """Candidates as ordered pairs ``cid_i, cid_j`` of contents, of which every record has one (``rid, rep, cid``).
+    """Candidates, as pairs ``rep_i, rep_j`` of ``classes`` and all pairs within a class.
 
-    A pair of records is scored by its contents alone, so repeated records are
-    scored once and only named, or counted, in the end.
+    Scores come from grids, so that no pair is written before it is scored.
+    What needs rows of pairs takes ordered pairs ``cid_i, cid_j`` of contents,
+    of which every record has one (``rid, rep, cid``): a pair of records is
+    scored by its contents alone, so repeated records are scored once and only
+    named, or counted, in the end.
     """
 
-    of: DataFrame
-    near: DataFrame
-    pairs: DataFrame
-    cleaned: DataFrame
+    def __init__(self, classes: DataFrame, near: DataFrame, cleaned: DataFrame):
+        self.classes, self.near, self.cleaned = classes, near, cleaned
+
+    @cached_property
+    def of(self) -> DataFrame:
+        return durable(minhash.contents(self.classes, score.fields(self.cleaned)))
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return durable(minhash.content_pairs(self.of, self.near))
 
     def scored(self, score: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
         """``cid_i, cid_j, ...`` by a function of pairs ``rid_i, rid_j`` and their records."""
@@ -71,13 +79,37 @@ class Contents:
         """``rid_i, rid_j, ...`` of all pairs of records."""
         return minhash.record_pairs(scores, self.of, "cid")
 
+    def grids(self, **kind) -> grids.Layout:
+        """The candidates dealt to tasks that score them."""
+        return grids.Layout(self.classes, self.near, score.fields(self.cleaned), **kind)
+
+    def distances(self, config: DedupConfig, rounded: bool = False) -> DataFrame:
+        """``rid_i, rid_j, dist`` of all pairs of records."""
+        if config.score_mode == "as_written":
+            return self.named(self.pairs).withColumn("dist", F.lit(0.0))
+        return self.grids().pairs("pair_distance", config, rounded)
+
+    def clusters(self, config: DedupConfig, rounded: bool = False) -> DataFrame:
+        """``rid, cluster_id`` by complete linkage: a block in one task, but for blocks of too many pairs."""
+        if config.score_mode == "as_written":
+            return self._clusters_by_rows(config, rounded)
+        whole = self.grids(most=grids.WHOLE)
+        linked = whole.clusters(config, rounded)
+        if not whole.large.limit(1).count():
+            return linked
+        classes = self.classes.join(whole.large, "block", "left_semi") if "block" in self.classes.columns else self.classes
+        near = self.near.join(classes.select(F.col("rid").alias("rep_i")), "rep_i", "left_semi")
+        return linked.unionByName(Contents(durable(classes), near, self.cleaned)._clusters_by_rows(config, rounded))
+
+    def _clusters_by_rows(self, config: DedupConfig, rounded: bool) -> DataFrame:
+        dist = lambda d: d.withColumn("dist", F.round("dist", 6)) if rounded else d
+        return cluster.linkage_of_contents(self.scored(lambda p, r: dist(score.pair_distance(p, r, config))), self.of, config.epsilon)
+
 
 def candidate_contents(vector_rows: DataFrame, cleaned: DataFrame, config: DedupConfig, block: DataFrame | None = None) -> Contents:
-    """The candidates, as those of ``candidate_pairs``, by content."""
+    """The candidates, as those of ``candidate_pairs``, for their scores."""
     classes = durable(minhash.with_words(minhash.vector_classes(vector_rows, block), config))
-    near = durable(minhash.class_candidates(classes, config))
-    of = durable(minhash.contents(classes, score.fields(cleaned)))
-    return Contents(of, near, durable(minhash.content_pairs(of, near)), cleaned)
+    return Contents(classes, durable(minhash.class_candidates(classes, config)), cleaned)
 
 
 def find_duplicates(records: DataFrame, brands: DataFrame, config: DedupConfig | None = None, whole: Sequence[str] = S.WHOLE_VALUES, first: Sequence[str] = S.FIRST_TOKENS) -> Result:
@@ -86,12 +118,11 @@ def find_duplicates(records: DataFrame, brands: DataFrame, config: DedupConfig |
     cleaned, _, vecs = word_sets(records, whole, first)
     brand = blocking.extract_brand(cleaned, brands).select("rid", F.col("brand").alias("block"))
     by = candidate_contents(durable(vecs), cleaned, config, brand)
-    distances = by.scored(lambda p, r: score.pair_distance(p, r, config))
-    linked = cluster.linkage_of_contents(distances, by.of, config.epsilon)
+    linked = by.clusters(config)
     clusters = durable(records.select("rid").join(linked.hint("merge"), "rid", "left").select("rid", F.coalesce("cluster_id", F.col("rid").cast("long")).alias("cluster_id")))
-    labelled = durable(by.of.join(records.select("rid", "entity_id").hint("merge"), "rid").select("rid", "rep", "entity_id"))
+    labelled = durable(by.classes.join(records.select("rid", "entity_id").hint("merge"), "rid").select("rid", "rep", "entity_id"))
     metrics = evaluate.quality(evaluate.found_by_class(labelled, by.near), records).join(evaluate.cluster_pairs(clusters, records))  # one row each
-    return Result(by.named(by.pairs), by.named(distances), clusters, metrics)
+    return Result(minhash.record_pairs(minhash._ordered(by.classes, by.near), by.classes, "rep"), by.distances(config), clusters, metrics)
 
 
 def metrics_by_rows(vecs: DataFrame, records: DataFrame, config: DedupConfig, rows: Sequence[int]) -> DataFrame:

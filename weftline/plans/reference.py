@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from weftline.config import DedupConfig
 from weftline.functions import similarity as sim, strings as S
-from weftline.operators import blocking, cluster, evaluate, minhash, score, tokens, vectors
+from weftline.operators import blocking, cluster, evaluate, minhash, tokens, vectors
 from weftline.plans import pipeline
 from weftline.session import durable, table
 from weftline.sources.records import flatten_catalogue, from_parts, gather, ordinals, sample_rows
@@ -19,6 +19,8 @@ CONFIG = DedupConfig()
 GRID, REPEATS = tuple(range(1, 11)), 5
 #: Features of the parts records that give words to the vocabulary.
 WHOLE, FIRST = ("Size", "Weight"), ("Type",)
+#: Records of a group where each task returns no pairs: most brands are one group.
+WHOLE_BLOCK = 65_536
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,18 +68,13 @@ def _contents(spark: SparkSession, sf_dir: str) -> pipeline.Contents:
     return pipeline.candidate_contents(_vectors(spark, sf_dir), _clean(spark, sf_dir), CONFIG, block)
 
 
-def _distances(by: pipeline.Contents, config: DedupConfig = CONFIG) -> DataFrame:
-    """``cid_i, cid_j, dist``, rounded as in the SQL."""
-    return by.scored(lambda p, r: score.pair_distance(p, r, config).select("rid_i", "rid_j", _six(F.col("dist"), "dist")))
-
-
 def _six(c, name: str):
     return F.round(c, 6).alias(name)
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     by, records = _contents(spark, sf_dir), _records(spark, sf_dir)
-    linked = cluster.linkage_of_contents(_distances(by), by.of, CONFIG.epsilon)
+    linked = by.clusters(CONFIG, rounded=True)
     return durable(records.select("rid").join(linked.hint("merge"), "rid", "left").select("rid", F.coalesce("cluster_id", F.col("rid").cast("long")).alias("cluster_id")))
 
 
@@ -151,35 +148,18 @@ def key_similarity(spark, sf_dir):
     return pairs.select("key", "other", _six(sim.text_similarity(F.col("key"), F.col("other")), "similarity"))
 
 
-def _by_content(spark, sf_dir, columns) -> DataFrame:
-    """Pairs of records with columns of their scores, which ``columns`` takes from rows as of ``score.paired``."""
-    by = _contents(spark, sf_dir)
-    return by.named(by.scored(lambda p, r: score.paired(p, r).transform(columns)))
-
-
-def _on_pairs(expr, name):
-    return lambda spark, sf_dir: _by_content(spark, sf_dir, lambda rows: rows.select("rid_i", "rid_j", _six(expr(), name)))
-
-
-def greedy_key_match(spark, sf_dir):
-    matched = lambda rows: score.key_matches(rows, CONFIG.gamma).select("rid_i", "rid_j", F.size("matches").alias("m"), _six(score.weighted_values(), "avg_sim"))
-    return _by_content(spark, sf_dir, matched)
-
-
-def leftover_model_words(spark, sf_dir):
-    left = lambda rows: score.key_matches(rows, CONFIG.gamma).select("rid_i", "rid_j", F.size("rest_i").alias("left_i"), F.size("rest_j").alias("left_j"), _six(score.rest_overlap(), "overlap"))
-    return _by_content(spark, sf_dir, left)
+def _scored(name: str):
+    """Pairs of candidates of one brand with their score of that name."""
+    return lambda spark, sf_dir: _contents(spark, sf_dir).grids().pairs(name, CONFIG)
 
 
 def pair_distance(spark, sf_dir):
-    by = _contents(spark, sf_dir)
-    return by.named(_distances(by))
+    return _contents(spark, sf_dir).distances(CONFIG, rounded=True)
 
 
 def components(spark, sf_dir):
     """Components of the pairs nearer than epsilon, isolated records left out."""
-    by = _contents(spark, sf_dir)
-    near = durable(cluster.content_edges(_distances(by), by.of, CONFIG.epsilon))
+    near = durable(_contents(spark, sf_dir).grids(group=WHOLE_BLOCK).near(CONFIG))
     return cluster.components(cluster.both_ways(near)).select(F.col("u").alias("rid"), "label")
 
 
@@ -188,7 +168,7 @@ def cluster_members(spark, sf_dir):
 
 
 def cluster_pair_counts(spark, sf_dir):
-    return evaluate.cluster_pairs(_clusters(spark, sf_dir), _records(spark, sf_dir))
+    return _rounded(evaluate.cluster_pairs(_clusters(spark, sf_dir), _records(spark, sf_dir)))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -221,8 +201,7 @@ def find_duplicates(spark, sf_dir):
 
 def pair_distance_as_written(spark, sf_dir):
     """Distances under ``score_mode="as_written"``, 0 for every candidate of one brand."""
-    by = _contents(spark, sf_dir)
-    return by.named(_distances(by, replace(CONFIG, score_mode="as_written")))
+    return _contents(spark, sf_dir).distances(replace(CONFIG, score_mode="as_written"))
 
 
 def lsh_bands_undelimited(spark, sf_dir):
@@ -262,18 +241,16 @@ QUERIES = {
     "brand_block": _blocked,
     "qgram_similarity": qgram_similarity,
     "normalized_levenshtein": normalized_levenshtein,
-    "mw_overlap": _on_pairs(lambda: sim.overlap(F.col("words_i"), F.col("words_j")), "overlap"),
-    "min_features": lambda s, d: _by_content(s, d, lambda rows: rows.select("rid_i", "rid_j", F.least(F.size("kv_i"), F.size("kv_j")).alias("min_features"))),
-    "mw_levenshtein": _on_pairs(lambda: sim.word_edit_similarity(F.col("words_i"), F.col("words_j")), "similarity"),
-    "title_cosine": _on_pairs(lambda: sim.word_cosine(F.col("title_i"), F.col("title_j")), "cosine"),
-    "title_mw_similarity": _on_pairs(
-        lambda: sim.title_similarity(F.col("title_i"), F.col("title_j"), F.col("words_i"), F.col("words_j"), CONFIG.alpha, CONFIG.beta, CONFIG.delta), "similarity"
-    ),
+    "mw_overlap": _scored("mw_overlap"),
+    "min_features": _scored("min_features"),
+    "mw_levenshtein": _scored("mw_levenshtein"),
+    "title_cosine": _scored("title_cosine"),
+    "title_mw_similarity": _scored("title_mw_similarity"),
     "key_similarity": key_similarity,
-    "greedy_key_match": greedy_key_match,
-    "leftover_model_words": leftover_model_words,
+    "greedy_key_match": _scored("greedy_key_match"),
+    "leftover_model_words": _scored("leftover_model_words"),
     "pair_distance": pair_distance,
-    "normal_distances": lambda s, d: score.normal_distances(pair_distance(s, d)),
+    "normal_distances": lambda s, d: _contents(s, d).grids().normal(CONFIG),
     "components": components,
     "complete_linkage": _clusters,
     "cluster_members": cluster_members,
