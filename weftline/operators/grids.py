@@ -24,7 +24,7 @@ from weftline.session import durable
 from weftline.sources.records import ordinals
 
 #: Cells of a table that is worked out once for a task, at most, and those of a grid.
-TABLE, CELLS = 2_000_000, 1_000_000
+TABLE, CELLS = 2_000_000, 250_000
 BLANK = re.compile(r"[ \t\n\x0b\f\r]+")
 DIGIT = re.compile(r"\d")
 
@@ -103,7 +103,7 @@ def six(x: np.ndarray) -> np.ndarray:
     """Rounded half up to six digits, as the decimal text of each number says."""
     y = x * 1e6
     out = np.floor(np.abs(y) + 0.5) * np.sign(y) / 1e6
-    near = np.abs(np.abs(y - np.trunc(y)) - 0.5) < 1e-3
+    near = np.abs(np.abs(y - np.trunc(y)) - 0.5) < 1e-6 * np.maximum(1, np.abs(x))
     if near.any():
         values, at = np.unique(x[near], return_inverse=True)
         out[near] = np.array([float(Decimal(repr(float(v))).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for v in values])[at.reshape(-1)]
@@ -140,6 +140,7 @@ class Unit:
         self.letters = np.array([letters[DIGIT.sub("", w)] for w in self.words], dtype=np.int64)
         self.digits = np.array([digits["".join(DIGIT.findall(w))] for w in self.words], dtype=np.int64)
         self.letter_texts = list(letters)
+        self.letter_lists = Lists([sorted({int(self.letters[w]) for e in x for w in e}) for x in told])
         self.length = np.array([len(w) for w in self.words], dtype=np.float64)
         row, code = self.word_lists.of(np.arange(len(kinds)))
         self.least, self.most = np.full(len(kinds), 1 << 60), np.full(len(kinds), -1)
@@ -198,11 +199,15 @@ class Unit:
         """Counts of the words of either side, these words, and which are near by their letters."""
         (ra, ca), (rb, cb) = self.word_lists.of(a), self.word_lists.of(b)
         x, y = np.unique(ca), np.unique(cb)
-        look = self._table("letters", self.letters, self.letters, lambda p, q: self._edit_shares(self.letter_texts, p, q) < 0.5)
-        return counts(ra, ca, len(a), x), counts(rb, cb, len(b), y), x, y, look(self.letters[x], self.letters[y])
+        return counts(ra, ca, len(a), x), counts(rb, cb, len(b), y), x, y, self._close(self.letters[x], self.letters[y])
 
-    def clash(self, a: np.ndarray, b: np.ndarray, near: tuple) -> np.ndarray:
-        x, y, _, _, close = near
+    def _close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self._table("letters", self.letters, self.letters, lambda p, q: self._edit_shares(self.letter_texts, p, q) < 0.5)(a, b)
+
+    def clash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        (ra, ca), (rb, cb) = self.letter_lists.of(a), self.letter_lists.of(b)
+        u, v = np.unique(ca), np.unique(cb)
+        x, y, close = counts(ra, ca, len(a), u), counts(rb, cb, len(b), v), self._close(u, v)
         differ = np.minimum(self.least[a][:, None], self.least[b][None, :]) != np.maximum(self.most[a][:, None], self.most[b][None, :])
         full = (self.word_lists.size[a] > 0)[:, None] & (self.word_lists.size[b] > 0)[None, :]
         return ((np.minimum(x, 1) @ close.astype(np.float32)) @ np.minimum(y, 1).T > 0) & differ & full
@@ -217,9 +222,9 @@ class Unit:
         return np.divide(won, total, out=np.zeros(total.shape), where=total > 0)
 
     def titles_alike(self, a: np.ndarray, b: np.ndarray, c: DedupConfig) -> np.ndarray:
-        cos, near = self.cosine(a, b), self._near(a, b)
+        cos = self.cosine(a, b)
         far = ~(cos > c.alpha)
-        need = far & ~self.clash(a, b, near)
+        need = far & ~self.clash(a, b)
         out = np.where(far, -1.0, 1.0)
         if need.any():
             (x, at), (y, to) = (np.unique(self.title[k], return_inverse=True) for k in (a, b))
@@ -229,7 +234,7 @@ class Unit:
             wanted[at[p], to[q]] = True
             share = self._edit_shares(self.titles, x, y, wanted)[np.ix_(at, to)]
             s = c.beta * cos + (1 - c.beta) * (1 - share)
-            words = self.word_edits(near)
+            words = self.word_edits(self._near(a, b))
             out[need] = np.where(words > 0, c.delta * words + (1 - c.delta) * s, s)[need]
         return out
 
